@@ -21,80 +21,95 @@ from respeval.operators.normalize import (
     union_items,
 )
 from respeval.plans.experiment import build_prompts
+from respeval.session import spread_small
+from respeval.sources.questions import read_questions
 
 MODELS = ("m0", "m1")
 ARMS = {C.BASELINE_ARM: "Answer.", C.TREATED_ARM: "Answer with care."}
+KINDS = (C.LEGITIMATE, C.COUNTERFACTUAL, C.FACTCHECK)
 REPLY = ("reply_index", "reply_text", "reply_confidence")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+}
 
 
-def _answer(index: Column, text: Column, confidence: Column, evidence: str, why: Column) -> Column:
-    return F.to_json(
-        F.struct(
-            index.alias("answer_index"),
-            text.alias("answer_text"),
-            confidence.alias("confidence"),
-            F.lit(evidence).alias("evidence_quality"),
-            why.alias("reasoning"),
-        )
-    )
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, read with its schema, so that no job runs to infer it."""
+    return read_questions(spark, f"{sf_dir}/{name}.parquet", schema=SCHEMAS[name])
 
 
-def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four responses per document (two models, two arms) in nine text shapes."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(mi).alias("mi"),
-                F.lit(model).alias("model"),
-                F.lit(ai).alias("ai"),
-                F.lit(arm).alias("arm"),
-            )
-            for mi, model in enumerate(MODELS)
-            for ai, arm in enumerate(ARMS)
-        ]
-    )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    docs = docs.select("*", F.inline(cells))
-    kind = (
-        F.when(F.col("doc_id") % 3 == 0, C.LEGITIMATE)
-        .when(F.col("doc_id") % 3 == 1, C.COUNTERFACTUAL)
-        .otherwise(C.FACTCHECK)
-    )
-    index = ((F.col("doc_id") + F.col("n_chars")) % 4).cast("int")
-    doubt = F.when((F.col("doc_id") % 3 == 1) & (F.col("ai") == 1), 4).otherwise(0)
-    confidence = F.greatest(
-        F.lit(1), (1 + (F.col("n_chars") + 5 * F.col("ai")) % 10 - doubt).cast("int")
-    )
-    shape = (F.floor(F.col("doc_id") / 3) * 7 + F.col("n_chars") + 3 * F.col("mi") + F.col("ai")) % 9
-    text = F.col("text")
-    raw = (
+def _response_text() -> Column:
+    """The response of one model in one arm; nine text shapes, by document."""
+    doc, size, text = F.col("doc_id"), F.col("n_chars"), F.col("text")
+    index = ((doc + size) % 4).cast("int")
+    doubt = F.when((doc % 3 == 1) & (F.col("ai") == 1), 4).otherwise(0)
+    confidence = F.greatest(F.lit(1), (1 + (size + 5 * F.col("ai")) % 10 - doubt).cast("int"))
+    answer = F.when(F.col("shape") == 7, "Not enough data").otherwise("opt")
+    evidence = F.when(F.col("shape") == 7, "suspicious").otherwise("normal")
+    return (
         F.when(
-            shape == 1,
+            F.col("shape") == 1,
             F.lit(
                 '```json\n{"answer_index": 1, "answer_text": "I do not know", "confidence": 2, '
                 '"evidence_quality": "implausible"}\n```'
             ),
         )
         .when(
-            shape == 2,
+            F.col("shape") == 2,
             F.concat(
                 text, F.lit(' Sure: {"answer_index": 2, "answer_text": "opt", "confidence": 9} end')
             ),
         )
-        .when(shape == 3, F.lit('{"answer_index": 2, "confidence": 9} trailing {x}'))
-        .when(shape == 4, F.concat(text, F.lit(" My confidence: 10 of 10")))
-        .when(shape == 5, F.lit(""))
-        .when(shape == 6, F.lit(None).cast("string"))
-        .when(
-            shape == 7, _answer(index, F.lit("Not enough data"), confidence, "suspicious", text)
+        .when(F.col("shape") == 3, F.lit('{"answer_index": 2, "confidence": 9} trailing {x}'))
+        .when(F.col("shape") == 4, F.concat(text, F.lit(" My confidence: 10 of 10")))
+        .when(F.col("shape") == 5, F.lit(""))
+        .when(F.col("shape") == 6, F.lit(None).cast("string"))
+        .otherwise(
+            F.to_json(
+                F.struct(
+                    index.alias("answer_index"),
+                    answer.alias("answer_text"),
+                    confidence.alias("confidence"),
+                    evidence.alias("evidence_quality"),
+                    text.alias("reasoning"),
+                )
+            )
         )
-        .otherwise(_answer(index, F.lit("opt"), confidence, "normal", text))
     )
-    return docs.select(
+
+
+def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four responses per document: two models, two arms."""
+    cells = [
+        F.struct(
+            F.lit(mi).alias("mi"),
+            F.lit(model).alias("model"),
+            F.lit(ai).alias("ai"),
+            F.lit(arm).alias("arm"),
+        )
+        for mi, model in enumerate(MODELS)
+        for ai, arm in enumerate(ARMS)
+    ]
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    turn = F.floor(F.col("doc_id") / 3) * 7 + F.col("n_chars")
+    docs = spread_small(
+        table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id"
+    ).select("*", F.inline(F.array(*cells)))
+    shaped = docs.withColumn("shape", (turn + 3 * F.col("mi") + F.col("ai")) % 9)
+    return shaped.select(
         F.col("doc_id").cast("string").alias("item_id"),
         "model",
         "arm",
@@ -103,7 +118,7 @@ def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 1, -1)
         .otherwise((F.col("doc_id") % 4).cast("int"))
         .alias("correct_index"),
-        raw.alias("raw_response"),
+        F.explode_outer(F.array(_response_text())).alias("raw_response"),
     )
 
 
@@ -119,7 +134,8 @@ def eval_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def choice_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as questions with a column per choice; labelled ones have a reply."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    docs, labels = spread_small(docs, "doc_id"), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("sent1"),
@@ -172,7 +188,7 @@ def counterfactual_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     replied = F.col("p_size") > 25
     abstains = F.col("p_size") % 4 != 0
-    return table(spark, sf_dir, "part").select(
+    return spread_small(table(spark, sf_dir, "part"), "p_partkey").select(
         F.col("p_partkey").alias("id"),
         F.concat(F.lit("Which label fits part "), F.col("p_partkey"), F.lit("?")).alias("question"),
         options.alias("options"),
@@ -188,7 +204,7 @@ def factcheck_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as questions whose option text also holds the truth."""
     priority = F.col("o_orderpriority")
     replied = F.col("o_orderstatus") == "F"
-    return table(spark, sf_dir, "orders").select(
+    return spread_small(table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("id"),
         F.concat(
             F.lit("Which priority did order "), F.col("o_orderkey"), F.lit(" have?")

@@ -59,8 +59,11 @@ def extract_response(
 ) -> DataFrame:
     """Add the answer fields and ``parse_error`` read from ``raw_col``.
 
-    A JSON null and a missing field give the same default. The parse sits in a
-    projection of its own, so each text is parsed once for all six columns.
+    A JSON null and a missing field give the same default.
+
+    The fields come out of a generator that yields one row. A later filter on them
+    would be moved below a plain projection by copying the parse into the filter; a
+    generator is not copied, so each text is parsed once whatever is asked of it.
     """
     raw = F.col(raw_col)
     staged = df.withColumn("_objects", strict_objects(outermost_braces(raw)))
@@ -72,21 +75,21 @@ def extract_response(
     def text_field(name: str) -> Column:
         return F.coalesce(F.when(parsed, field(name)), F.lit(""))
 
-    return staged.withColumns(
-        {
-            "predicted_index": F.coalesce(
-                F.when(parsed & (index == F.floor(index)), index.try_cast("int")),
-                F.lit(C.MISSING_INDEX),
-            ),
-            "predicted_text": text_field("answer_text"),
-            "confidence": F.coalesce(
-                F.when(parsed, stated).otherwise(confidence_in_prose(raw, whole_number)),
-                F.lit(float(C.MISSING_CONFIDENCE)),
-            ),
-            "reasoning": F.when(raw.isNull(), F.lit(C.NO_RESPONSE_REASONING)).otherwise(
-                text_field("reasoning")
-            ),
-            "evidence_quality": text_field("evidence_quality"),
-            "parse_error": ~parsed,
-        }
-    ).drop("_objects")
+    fields = {
+        "predicted_index": F.coalesce(
+            F.when(parsed & (index == F.floor(index)), index.try_cast("int")),
+            F.lit(C.MISSING_INDEX),
+        ),
+        "predicted_text": text_field("answer_text"),
+        "confidence": F.coalesce(
+            F.when(parsed, stated).otherwise(confidence_in_prose(raw, whole_number)),
+            F.lit(float(C.MISSING_CONFIDENCE)),
+        ),
+        "reasoning": F.when(raw.isNull(), F.lit(C.NO_RESPONSE_REASONING)).otherwise(
+            text_field("reasoning")
+        ),
+        "evidence_quality": text_field("evidence_quality"),
+        "parse_error": ~parsed,
+    }
+    row = F.struct(*[value.alias(name) for name, value in fields.items()])
+    return staged.select(*df.columns, F.inline_outer(F.array(row)))

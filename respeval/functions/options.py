@@ -32,8 +32,13 @@ def python_literal_as_json(text: Column) -> Column:
 
 
 def parse_options(text: Column) -> Column:
-    """Ordered option map: dict literal, else JSON after ``'`` -> ``"``, else the text itself."""
+    """Ordered option map: dict literal, else JSON after ``'`` -> ``"``, else the text itself.
+
+    Most literals already read as lenient JSON, so the rewrite runs only on the rest. A
+    hex escape is the one case where that first reading would succeed with a wrong text.
+    """
     return F.coalesce(
+        F.when(~F.contains(text, F.lit("\\x")), _single_map(text)),
         _single_map(python_literal_as_json(text)),
         _single_map(F.replace(text, F.lit("'"), F.lit('"'))),
         F.create_map(F.lit("0"), text),

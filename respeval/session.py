@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution splits hot join partitions, picks broadcast joins from
 # measured sizes and merges small shuffle partitions.
@@ -40,3 +40,19 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="respeval-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def spread_small(df: DataFrame, *keys: str, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Deal the rows of a small input out over all cores.
+
+    A small file is often one row group, which one task reads and then carries through
+    every narrow step. Above ``limit`` estimated bytes the scan has splits enough and the
+    frame is returned as it is, without a shuffle.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
