@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from respeval import constants as C
 from respeval.functions.extraction import extract_response
 from respeval.functions.flags import abstained, add_flags
+from respeval.functions.once import computed_once
 from respeval.operators.normalize import (
     choice_items,
     counterfactual_items,
@@ -109,6 +110,7 @@ def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id"
     ).select("*", F.inline(F.array(*cells)))
     shaped = docs.withColumn("shape", (turn + 3 * F.col("mi") + F.col("ai")) % 9)
+    shaped = computed_once(shaped, {"raw_response": _response_text()})
     return shaped.select(
         F.col("doc_id").cast("string").alias("item_id"),
         "model",
@@ -118,7 +120,7 @@ def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 1, -1)
         .otherwise((F.col("doc_id") % 4).cast("int"))
         .alias("correct_index"),
-        F.explode_outer(F.array(_response_text())).alias("raw_response"),
+        "raw_response",
     )
 
 

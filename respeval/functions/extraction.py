@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from respeval import constants as C
+from respeval.functions.once import computed_once
 from respeval.schemas import ANSWER
 
 
@@ -61,9 +62,7 @@ def extract_response(
 
     A JSON null and a missing field give the same default.
 
-    The fields come out of a generator that yields one row. A later filter on them
-    would be moved below a plain projection by copying the parse into the filter; a
-    generator is not copied, so each text is parsed once whatever is asked of it.
+    Each text is parsed once, whatever is later filtered on.
     """
     raw = F.col(raw_col)
     staged = df.withColumn("_objects", strict_objects(outermost_braces(raw)))
@@ -91,5 +90,4 @@ def extract_response(
         "evidence_quality": text_field("evidence_quality"),
         "parse_error": ~parsed,
     }
-    row = F.struct(*[value.alias(name) for name, value in fields.items()])
-    return staged.select(*df.columns, F.inline_outer(F.array(row)))
+    return computed_once(staged, fields, keep=df.columns)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from respeval import constants as C
 from respeval.functions import aggregates as agg
+from respeval.functions.once import shared
 from respeval.operators.metrics import keys_present
 
 _COUNTS = ("pos", "neg")
@@ -64,6 +65,7 @@ def _totals_in_one_window(histogram: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def _totals_over_ranges(histogram: DataFrame, groups: list[str], ranges: int) -> DataFrame:
+    histogram = shared(histogram)
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = histogram.groupBy(*groups).agg(
         F.percentile_approx("score", F.array(*[F.lit(c) for c in cuts]), 10 * ranges).alias("_cuts")
