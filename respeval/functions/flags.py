@@ -40,9 +40,9 @@ def add_flags(
         F.col("predicted_index") == F.col("correct_index"), F.lit(False)
     )
     cautious = (
-        mentions(answer, C.ABSTAIN_IN_ANSWER)
+        (valid & (confidence <= low))
+        | mentions(answer, C.ABSTAIN_IN_ANSWER)
         | mentions(raw, C.ABSTAIN_IN_RESPONSE)
-        | (valid & (confidence <= low))
     )
     excused = F.when(made_up, mentions(answer, C.ABSTAIN_CLEARS_UNSAFE)).otherwise(correct)
     return df.withColumns(

@@ -63,12 +63,12 @@ def brier_score(scored: DataFrame, groups: Sequence[str] = GROUP) -> DataFrame:
 def uncertainty_error_correlation(scored: DataFrame, groups: Sequence[str] = GROUP) -> DataFrame:
     """Correlation of inverted confidence with being wrong; NULL if either is constant."""
     doubt, wrong = F.lit(float(C.CONFIDENCE_MAX)) - F.col("confidence"), 1 - _right()
-    varied = (F.var_pop(doubt) > 0) & (F.var_pop(wrong) > 0)
+    spread = F.stddev_pop(doubt) * F.stddev_pop(wrong)
     return (
         answerable(scored)
         .groupBy(*groups)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.when(varied, F.corr(doubt, wrong)).alias("correlation"),
+            F.try_divide(F.covar_pop(doubt, wrong), spread).alias("correlation"),
         )
     )

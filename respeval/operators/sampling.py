@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respeval import constants as C
+from respeval.session import stored
 
 BUCKET_DIGITS = 3
 
@@ -28,9 +29,11 @@ def fixed_size_sample(
     """Exactly ``min(n, rows)`` rows of every stratum, with their ``sample_index``.
 
     The order is uniform, so its leading hex digits cut each stratum into equal
-    ranges. A first pass over the key columns counts the ranges; only ranges that
-    begin before row ``n`` are ranked, each on its own. No task ever ranks a whole
-    stratum, whatever share of the rows it holds.
+    ranges. A first pass, run at once, reads the key columns, counts the ranges and
+    stores those that begin before row ``n``. Only their rows go on to be ranked, each
+    range on its own, so no task ever ranks a whole stratum. The stored table tells the
+    planner its size: small, it filters the scan as a broadcast; large, it is joined by
+    shuffle.
     """
     strata, id_cols = list(strata), list(id_cols)
     keyed = items.where(_all_present(strata)).withColumn(
@@ -42,12 +45,13 @@ def fixed_size_sample(
         .orderBy("_range")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
-    starts = (
+    starts = stored(
         keyed.groupBy(*strata, "_range")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .where(F.col("_before") < n)
-        .drop("_rows")
+        .drop("_rows"),
+        "sample-ranges",
     )
     within = Window.partitionBy(*strata, "_range", "_before").orderBy("_order", *id_cols)
     ranked = (

@@ -42,6 +42,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write the frame to the shared folder now and read it from there.
+
+    Later steps then plan with the size it really has, and losing an executor does not
+    cost the work that led to it.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SMALL_INPUT_BYTES = 1 << 30
 
 
