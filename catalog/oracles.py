@@ -436,7 +436,12 @@ SELECT {groups}, score AS threshold, round(CAST(tp AS DOUBLE) / (tp + fp), 9) AS
 
 
 _MA = "model, arm"
-for _key, _source in (("auroc", _FAKE), ("analysis_auroc", _FAKE), ("correctness_auroc", _CORRECT)):
+for _key, _source in (
+    ("auroc", _FAKE),
+    ("analysis_auroc", _FAKE),
+    ("report_files", _FAKE),
+    ("correctness_auroc", _CORRECT),
+):
     _extra, _body = _area(_MA)
     _on_scored(_key, _body, _source + "," + _extra)
 for _key, _source, _group in (
@@ -688,14 +693,24 @@ for _key in ("sink_roundtrip_json", "results_block_overwrite"):
         "md5(reasoning) AS reasoning_md5, raw_response IS NULL AS no_response, "
         "CAST(1 AS BIGINT) AS completion_tokens FROM results",
     )
-_on_scored(
-    "metric_pivot",
-    """
+for _key in ("response_file_scan", "response_file_stream"):
+    ORACLES[_key] = """
+SELECT sha256('m0|' || role || '|' || text) AS cache_key, 'm0' AS model, text AS raw_response,
+  length(role) AS prompt_tokens, length(text) AS completion_tokens
+FROM (SELECT DISTINCT role, text FROM conversations)"""
+for _key, _flag, _where in (
+    ("metric_pivot", "is_cautious", "true"),
+    ("metric_pivot_unsafe", "is_unsafe", "true"),
+    ("metric_pivot_accuracy", "is_correct", "dataset_type = 'legitimate'"),
+):
+    _on_scored(
+        _key,
+        f"""
 SELECT dataset, model,
-  round(avg(CAST(is_cautious AS DOUBLE)) FILTER (WHERE arm = 'baseline'), 9) AS baseline,
-  round(avg(CAST(is_cautious AS DOUBLE)) FILTER (WHERE arm = 'uncertainty'), 9) AS uncertainty
-FROM scored GROUP BY dataset, model""",
-)
+  round(avg(CAST({_flag} AS DOUBLE)) FILTER (WHERE arm = 'baseline'), 9) AS baseline,
+  round(avg(CAST({_flag} AS DOUBLE)) FILTER (WHERE arm = 'uncertainty'), 9) AS uncertainty
+FROM scored WHERE {_where} GROUP BY dataset, model""",
+    )
 _on_scored(
     "confidence_histogram",
     "SELECT model, dataset, arm, confidence, count(*) AS n FROM scored WHERE confidence_valid "

@@ -22,10 +22,11 @@ from respeval.operators import (
     sampling,
 )
 from respeval.operators import prompts as prompting
-from respeval.plans.analysis import analyse
+from respeval.plans.analysis import analyse, write_report
 from respeval.plans.experiment import collect_results, score_results
 from respeval.session import work_dir
 from respeval.sources import questions, responses, results
+from respeval.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -561,6 +562,41 @@ def cache_append_idempotent(spark, sf_dir):
     return stored.select("cache_key", "model", F.md5("raw_response").alias("raw_md5"))
 
 
+def _turns(stored: DataFrame) -> DataFrame:
+    return stored.select(
+        "cache_key", "model", "raw_response", "usage.prompt_tokens", "usage.completion_tokens"
+    )
+
+
+@query
+def response_file_scan(spark, sf_dir):
+    """One file per response, found again by its key."""
+    folder = work_dir(spark, "response-files")
+    responses.write_response_files(V.turn_responses(spark, sf_dir), folder)
+    return _turns(responses.read_response_files(spark, folder))
+
+
+@query
+def response_file_stream(spark, sf_dir):
+    """The same files taken in as a stream, in two runs of which the second finds nothing new."""
+    folder, path, state = (work_dir(spark, name) for name in ("files", "table", "state"))
+    responses.write_response_files(V.turn_responses(spark, sf_dir), folder)
+    for _ in range(2):
+        files = ingest.stream_response_files(spark, folder)
+        ingest.ingest_responses(files, path, state).awaitTermination()
+    return _turns(responses.read_responses(spark, path))
+
+
+@query
+def report_files(spark, sf_dir):
+    """The whole report is written; the area table is read back."""
+    folder = work_dir(spark, "report")
+    analysis = analyse(V.eval_scored(spark, sf_dir))
+    write_report(analysis, folder)
+    analysis.cells.unpersist()
+    return rounded(spark.read.schema(analysis.auroc.schema).json(f"{folder}/auroc"))
+
+
 # --- report tables -------------------------------------------------------------------
 
 
@@ -570,6 +606,18 @@ def metric_pivot(spark, sf_dir):
     return rounded(report.metric_by_arm(table, "cautiousness_rate"))
 
 
+@query
+def metric_pivot_unsafe(spark, sf_dir):
+    table = metrics.group_metrics(V.eval_scored(spark, sf_dir))
+    return rounded(report.metric_by_arm(table, "unsafe_rate"))
+
+
+@query
+def metric_pivot_accuracy(spark, sf_dir):
+    legitimate = V.eval_scored(spark, sf_dir).where(F.col("dataset_type") == C.LEGITIMATE)
+    return rounded(report.metric_by_arm(metrics.group_metrics(legitimate), "accuracy"))
+
+
 @query
 def confidence_histogram(spark, sf_dir):
     return report.confidence_histogram(V.eval_scored(spark, sf_dir))

@@ -21,6 +21,7 @@ from respeval.operators.normalize import (
     factcheck_items,
     union_items,
 )
+from respeval.operators.prompts import content_key
 from respeval.plans.experiment import build_prompts
 from respeval.session import spread_small
 from respeval.sources.questions import read_questions
@@ -266,3 +267,17 @@ def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("string").alias("error"),
         )
     )
+
+
+def turn_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as a stored response."""
+    return table(spark, sf_dir, "conversations").select(
+        content_key(F.lit("m0"), F.col("role"), F.col("text")).alias("cache_key"),
+        F.lit("m0").alias("model"),
+        F.col("text").alias("raw_response"),
+        F.struct(
+            F.length("role").cast("long").alias("prompt_tokens"),
+            F.length("text").cast("long").alias("completion_tokens"),
+        ).alias("usage"),
+        F.lit(None).cast("string").alias("error"),
+    )

@@ -11,6 +11,7 @@ from respeval.operators import report
 from respeval.operators.compare import arm_tests, verdicts
 from respeval.operators.metrics import group_metrics, parse_success
 from respeval.operators.roc import auroc, counterfactual_histogram, roc_points
+from respeval.sources.results import drop_nan, write_csv, write_json
 
 CELL = (
     "model",
@@ -81,3 +82,17 @@ def analyse(scored: DataFrame, keep_cells: bool = True) -> Analysis:
         roc_points=roc_points(histogram, groups),
         verdicts=verdicts(cells, weight="rows"),
     )
+
+
+def write_report(analysis: Analysis, folder: str) -> None:
+    """The report tables as files: metrics as CSV, the rest as JSON lines."""
+    write_csv(drop_nan(analysis.metrics), f"{folder}/metrics")
+    for name, table in (
+        ("statistical_tests", analysis.tests),
+        ("auroc", analysis.auroc),
+        ("roc_points", analysis.roc_points),
+        ("metric_rows", analysis.metric_rows()),
+        ("test_rows", analysis.test_rows()),
+        ("auroc_rows", analysis.auroc_rows()),
+    ):
+        write_json(drop_nan(table), f"{folder}/{name}")

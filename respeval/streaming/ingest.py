@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from respeval.schemas import RESPONSE_FILE
-from respeval.sources.responses import append_responses, key_from_file_name, read_responses
+from respeval.sources.responses import append_responses, key_from_path, read_responses
 
 
 def stream_response_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,9 +17,10 @@ def stream_response_files(spark: SparkSession, folder: str) -> DataFrame:
         spark.readStream.schema(RESPONSE_FILE)
         .option("multiLine", True)
         .option("pathGlobFilter", "*.json")
+        .option("recursiveFileLookup", True)
         .json(folder)
     )
-    return key_from_file_name(files).where(F.col("cache_key") != "")
+    return key_from_path(files).where(F.col("cache_key") != "")
 
 
 def ingest_responses(
@@ -30,10 +32,10 @@ def ingest_responses(
         spark = batch.sparkSession
         try:
             known = read_responses(spark, table)
-        except Exception as missing:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-            known = None
+            known = None  # the first batch creates the table
         append_responses(batch, table, known)
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
