@@ -10,6 +10,10 @@ from respeval.functions.once import computed_once
 from respeval.schemas import ANSWER
 
 
+_MARKER = "_end"
+_FIELDS = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in ANSWER.fields)
+
+
 def outermost_braces(text: Column) -> Column:
     """From the first ``{`` to the last ``}``; empty when there is no such span.
 
@@ -22,20 +26,27 @@ def outermost_braces(text: Column) -> Column:
     )
 
 
-def strict_objects(json_text: Column) -> Column:
-    """Parse text that must be exactly one JSON object.
+def marked_objects(json_text: Column) -> Column:
+    """The text parsed as the first element of an array that ends in a marker.
 
-    ``from_json`` ignores anything after the first value, so the text is put in
-    brackets: trailing text then breaks the array (NULL) and a second object
-    makes it longer than one. Check the size before taking element 0.
+    ``from_json`` ignores whatever follows the first value. Here trailing text breaks the
+    array (NULL), a second object moves the marker, and a bracket that closes the array
+    early loses it; ``is_single_object`` tells. Empty text is not parsed at all.
     """
+    text = F.nullif(json_text, F.lit(""))
     return F.from_json(
-        F.concat(F.lit("["), json_text, F.lit("]")),
-        f"array<{ANSWER.simpleString()}>",
+        F.concat(F.lit("["), text, F.lit(f',{{"{_MARKER}": true}}]')),
+        f"array<struct<{_FIELDS}, {_MARKER}: boolean>>",
         {"allowSingleQuotes": "false"},
     )
 
 
+def is_single_object(objects: Column) -> Column:
+    """Whether the text behind ``marked_objects`` was one JSON object and nothing else."""
+    ended = F.get(objects, F.lit(1)).getField(_MARKER)
+    return F.coalesce((F.size(objects) == 2) & ended, F.lit(False))
+
+
 def digit_after(text: Column, word: str, reach: int, whole_number: bool) -> Column:
     """First digit in the ``reach`` characters that begin at the first ``word``."""
     at = F.instr(text, word)
@@ -65,8 +76,8 @@ def extract_response(
     Each text is parsed once, whatever is later filtered on.
     """
     raw = F.col(raw_col)
-    staged = df.withColumn("_objects", strict_objects(outermost_braces(raw)))
-    parsed = F.coalesce(F.size("_objects") == 1, F.lit(False))
+    staged = df.withColumn("_objects", marked_objects(outermost_braces(raw)))
+    parsed = is_single_object(F.col("_objects"))
     field = F.get("_objects", F.lit(0)).getField
     index = field("answer_index")
     stated = F.nanvl(field("confidence"), F.lit(None).cast("double"))

@@ -11,16 +11,25 @@ _STRING = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 _BETWEEN = rf"(?:[\s{{}}\[\]:,]++|{_STRING})*+"
 # Bare Python literals are put in quotes, which is how they print in a prompt.
 _BARE = rf"(?s)\G({_BETWEEN})(None|True|False|[-+]?\d+(?:\.\d+)?)(?=[\s,:}}\]])"
+_MARKER = "_end"
 _LENIENT = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
 def _single_map(text: Column) -> Column:
-    """The text as exactly one string map, or NULL if it is anything else."""
-    parsed = F.from_json(
-        F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _LENIENT
+    """The text as exactly one string map, or NULL if it is anything else.
+
+    As for responses, a marker after the text shows that the reader got to its end.
+    """
+    maps = F.from_json(
+        F.concat(F.lit("["), text, F.lit(f',{{"{_MARKER}": ""}}]')),
+        "array<map<string,string>>",
+        _LENIENT,
+    )
+    # Held in an array so that the checks do not parse the text again.
+    alone = F.filter(
+        F.array(maps),
+        lambda m: (F.size(m) == 2) & F.map_contains_key(F.get(m, F.lit(1)), F.lit(_MARKER)),
     )
-    # Held in an array so that the size check does not parse the text again.
-    alone = F.filter(F.array(parsed), lambda maps: F.size(maps) == 1)
     return F.get(F.get(alone, F.lit(0)), F.lit(0))
 
 

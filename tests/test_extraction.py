@@ -11,6 +11,9 @@ CASES = {
     '{"confidence": 9} tail {x}': (True, 9),
     '{"confidence": 4},{"confidence": 5}': (True, 4),
     "{'confidence': 10}": (True, 1),
+    '{"confidence": 9}] and [{"confidence": 2}': (True, 9),
+    '{"confidence": 9}, {"x": 1}] and [{}': (True, 9),
+    '{"confidence": 6, "_end": true}': (False, 6),
     "My confidence: 10 of 10": (True, 1),
     "confidence 3 ... Confidence 8": (True, 8),
     "confidence 3 ... Confidence none": (True, 3),
@@ -91,3 +94,8 @@ def test_a_filter_does_not_copy_the_parse(spark):
     asked = extract_response(df).where("confidence > 3 and not parse_error").select("confidence")
     plan = asked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_one_bad_text_does_not_spoil_its_neighbours(spark):
+    rows = read(spark, ['{"confidence": 2}', '{"confidence": 3', None, '{"confidence": 4}'])
+    assert [r["confidence"] for r in rows] == [2, 3, -1, 4]

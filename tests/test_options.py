@@ -17,6 +17,8 @@ CASES = {
     "plain text": {"0": "plain text"},
     "{'0': 'a'} and more": {"0": "{'0': 'a'} and more"},
     "{'0': undefined}": {"0": "{'0': undefined}"},
+    "{'0': 'a'}] [{}": {"0": "{'0': 'a'}] [{}"},
+    "{'0': 'a'}, {'1': 'b'}": {"0": "{'0': 'a'}, {'1': 'b'}"},
     "[1, 2]": {"0": "[1, 2]"},
     "": {"0": ""},
     "{}": {},
