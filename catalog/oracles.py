@@ -190,7 +190,7 @@ SELECT model, arm, dataset, count(*) AS n,
 FROM {source} GROUP BY model, arm, dataset"""
 
 
-for _key in ("group_metrics", "sink_roundtrip_csv", "analysis_metrics"):
+for _key in ("group_metrics", "scored_table_metrics", "sink_roundtrip_csv", "analysis_metrics"):
     _on_scored(_key, _metrics("scored"))
 _on_scored(
     "overall_parse_rate",

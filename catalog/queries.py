@@ -535,6 +535,14 @@ def results_block_overwrite(spark, sf_dir):
     return _flat(results.read_results(spark, path))
 
 
+@query
+def scored_table_metrics(spark, sf_dir):
+    """Flags are stored with the results; the report reads those columns and no text."""
+    path = work_dir(spark, "scored")
+    results.write_results(score_results(_records(spark, sf_dir)), path)
+    return rounded(metrics.group_metrics(results.read_results(spark, path, scored=True)))
+
+
 @query
 def sink_roundtrip_csv(spark, sf_dir):
     path = work_dir(spark, "metrics-csv")

@@ -144,7 +144,7 @@ def roc_points(
     min_rows: int = C.MIN_CLASS_ROWS,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Corner points of the ROC, starting at the origin.
+    """Corner points of the ROC, starting at the origin (whose threshold is NULL).
 
     A point is dropped when the next step repeats the step that led to it, since it
     then lies on a straight run of equal steps; the first and last points stay.

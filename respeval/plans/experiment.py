@@ -10,7 +10,7 @@ from respeval.functions.extraction import extract_response
 from respeval.functions.flags import add_flags
 from respeval.operators.matching import match_responses
 from respeval.operators.prompts import add_content_key, experiment_grid, render_prompts
-from respeval.schemas import RESULTS
+from respeval.schemas import RESULTS, SCORED
 
 
 def build_prompts(
@@ -39,4 +39,5 @@ def collect_results(
 
 
 def score_results(results: DataFrame) -> DataFrame:
-    return add_flags(results)
+    """Results with their flags, in the order of the stored table."""
+    return add_flags(results).select(*SCORED.fieldNames())

@@ -59,6 +59,30 @@ RESULTS = T.StructType(
     ]
 )
 
+FLAGS = (
+    "confidence_valid",
+    "is_correct",
+    "is_cautious",
+    "is_unsafe",
+    "flagged_suspicious",
+)
+
+# Results with their flags: reports on such a table never read the response texts again.
+SCORED = T.StructType(
+    RESULTS.fields + [T.StructField(name, T.BooleanType()) for name in FLAGS]
+)
+
+# Question tables as they come: a column per choice, or the options as text.
+CHOICE_QUESTIONS = (
+    "id string, sent1 string, ending0 string, ending1 string, ending2 string, ending3 string, "
+    "label int"
+)
+COUNTERFACTUAL_QUESTIONS = "id string, question string, options string"
+FACTCHECK_QUESTIONS = (
+    "id string, question string, options string, student_answer string, correct_index int, "
+    "correct_answer string"
+)
+
 ITEM_COLUMNS = (
     "item_id",
     "dataset",

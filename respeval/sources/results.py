@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.schemas import RESULTS
+from respeval.schemas import RESULTS, SCORED
 
 BLOCK = ("model", "arm", "dataset")
 
@@ -27,8 +27,13 @@ def write_results(results: DataFrame, path: str, block: Sequence[str] = BLOCK) -
     )
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULTS).parquet(path).select(*RESULTS.fieldNames())
+def read_results(spark: SparkSession, path: str, scored: bool = False) -> DataFrame:
+    """Stored results; ``scored`` if they were written with their flags.
+
+    Block filters prune folders, and only the columns a report needs are read.
+    """
+    schema = SCORED if scored else RESULTS
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def write_results_json(results: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from respeval.operators import matching, normalize, prompts
 from respeval.plans.experiment import build_prompts, collect_results, score_results
+from respeval.schemas import CHOICE_QUESTIONS, COUNTERFACTUAL_QUESTIONS, FACTCHECK_QUESTIONS
 
 ARMS = {"baseline": "sys b", "uncertainty": "sys u"}
 
@@ -11,23 +12,21 @@ ARMS = {"baseline": "sys b", "uncertainty": "sys u"}
 def choice_table(spark):
     return spark.createDataFrame(
         [("q1", "Stem é?", "a", "b", "c", "d", 2), ("q2", "Other", "w", "x", "y", "z", 0)],
-        "id string, sent1 string, ending0 string, ending1 string, ending2 string, ending3 string, "
-        "label int",
+        CHOICE_QUESTIONS,
     )
 
 
 def fake_table(spark):
     return spark.createDataFrame(
         [("f1", "Odd?", "{'0': 'a', '5': 'I do not know'}")],
-        "id string, question string, options string",
+        COUNTERFACTUAL_QUESTIONS,
     )
 
 
 def fact_table(spark):
     return spark.createDataFrame(
         [("t1", "Which?", "{'0': 'a', '1': \"b's\", 'correct answer': 'a'}", "b's", 0, "a")],
-        "id string, question string, options string, student_answer string, correct_index int, "
-        "correct_answer string",
+        FACTCHECK_QUESTIONS,
     )
 
 

@@ -4,7 +4,9 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from respeval.operators.metrics import group_metrics
 from respeval.operators.profile import split_preview, split_profile
+from respeval.plans.experiment import score_results
 from respeval.schemas import RESPONSES, RESULTS
 from respeval.session import work_dir
 from respeval.sources import responses, results
@@ -92,6 +94,16 @@ def test_blocks_are_replaced_and_others_kept(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(arm" in plan
 
 
+def test_reports_on_stored_flags_read_no_text(spark, tmp_path):
+    path = str(tmp_path / "scored")
+    rows = [record(item=str(i), confidence=float(i), raw_response="text") for i in range(5)]
+    results.write_results(score_results(spark.createDataFrame(rows, RESULTS)), path)
+    table = group_metrics(results.read_results(spark, path, scored=True))
+    assert table.first().n == 5
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "is_cautious" in plan and "raw_response" not in plan and "reasoning" not in plan
+
+
 def test_results_json(spark, tmp_path):
     lines, array = str(tmp_path / "lines"), tmp_path / "array.json"
     rows = [record(item="1"), record(item="2", raw_response="x\ny", confidence=None)]
