@@ -18,7 +18,7 @@ def _build():
         c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
         d = 1.0 / (d if abs(d) > floor else floor)
         value = d
-        for m in range(1, 1000):
+        for m in range(1, 50_000):
             even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
             odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
             for step in (even, odd):
@@ -48,6 +48,11 @@ def _build():
     def t_tail(t, df):
         if t is None or df is None or t != t or df != df or df <= 0:
             return None
+        if df > 1e6:
+            # The fraction needs ever more terms; the normal limit, corrected to first
+            # order in 1/df, is exact to about 1/df^2 here.
+            z = abs(t) * (1.0 - 0.25 / df) / math.sqrt(1.0 + t * t / (2.0 * df))
+            return math.erfc(z / math.sqrt(2.0))
         scale = df + t * t
         return regularised_beta(df / 2.0, 0.5, df / scale, t * t / scale)
 

@@ -70,11 +70,14 @@ def _totals_over_ranges(histogram: DataFrame, groups: list[str], ranges: int) ->
     bounds = histogram.groupBy(*groups).agg(
         F.percentile_approx("score", F.array(*[F.lit(c) for c in cuts]), 10 * ranges).alias("_cuts")
     )
+    # Each group's cuts are repeated per salt, so that a join by shuffle splits a hot group.
+    bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    salted = histogram.withColumn("_salt", F.pmod(F.hash("score"), F.lit(ranges)))
     # Range 0 holds the highest scores. Equal scores always share a range.
-    located = histogram.join(bounds, groups).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda cut: cut >= F.col("score")))
+    located = salted.join(bounds, [*groups, "_salt"]).select(
+        *histogram.columns,
+        F.size(F.filter("_cuts", lambda cut: cut >= F.col("score"))).alias("_range"),
     )
-    located = located.drop("_cuts")
     across = Window.partitionBy(*groups).orderBy("_range")
     above = across.rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     every = Window.partitionBy(*groups)

@@ -91,6 +91,16 @@ def test_ties_and_perfect_separation(spark):
     assert sorted((r.fpr, r.tpr) for r in points if r.g == "split") == [(0, 0), (0, 1), (1, 1)]
 
 
+def test_ranges_joined_by_shuffle(spark, conf):
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+    )
+    rows = random_rows(8, levels=200, groups=("hot", "hot", "b"))
+    got = {r.g: r.auroc for r in roc.auroc(histogram(spark, rows), ["g"], ranges=5).collect()}
+    assert got == pytest.approx({g: a for g, (a, _, _) in pairwise(rows).items()})
+
+
 def test_one_shuffle_serves_all_uses(spark, conf):
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
     areas = roc.auroc(histogram(spark, random_rows(6)), ["g"], ranges=4)
