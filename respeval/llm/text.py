@@ -226,7 +226,7 @@ def map_texts(
     is one more array than columns, says which rows stay.
     """
     keep = list(keep)
-    added = StructType.fromDDL(columns)
+    added = StructType.fromDDL(columns) if columns else StructType()
     schema = StructType([docs.schema[k] for k in keep] + added.fields)
     source = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text_"))
     names, wanted = schema.names, len(added.fields)
