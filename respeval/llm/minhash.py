@@ -9,12 +9,15 @@ probability of 5e-8.
 Texts with equal shingle sets are one class, found by a digest; the rest of the work is on
 one document per class. In each band bucket one member is the centre and all others are
 compared with it, which is linear in the bucket. After the links found so far have been
-joined into components, only buckets that still hold several components go on: two more
-rounds with other centres, then all pairs of different components that are left. A large
-group of copies is settled by the first rounds, and no link between classes of different
-components is left out. Before texts are fetched, pairs whose set sizes cannot reach the
-similarity are dropped, and so are pairs whose 128 signature bits differ more than six
-standard deviations beyond what the similarity allows (one true pair in a billion).
+joined into components, only buckets that still hold several components go on. In those of
+at most ``SMALL`` members, all pairs of different components are compared. A larger one is
+dealt into blocks of bounded size, every two of which meet in a group that looks up its
+members' shingles in each other and returns only links that join components. So no pairs
+of a large group are ever listed, and no link between different components is left out.
+Before sets are fetched, pairs
+whose sizes cannot reach the similarity are dropped, and so are pairs whose 128 signature
+bits differ more than six standard deviations beyond what the similarity allows (one true
+pair in a billion).
 
 Rows without a document id take no part: they keep their size, and have no component.
 Rows that share an id count as one document with the links of all of them. Texts without a
@@ -24,11 +27,9 @@ gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respeval.llm.components import components
@@ -39,7 +40,9 @@ WORDS = 5
 PERCENT = 80
 PERMUTATIONS = 64
 ROWS = 4
-STAR_ROUNDS = 3
+SMALL = 32
+#: Shingles in a block of a large bucket.
+BLOCK = 1 << 20
 _SIGMAS = 6
 
 
@@ -135,13 +138,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, key:
     fetched = texts.join(wanted, "b").select("a", "b", "text")
     sets = stored(_sets(fetched, words), "shingle-sets")
     centres = sets.where("a = b").select("a", F.col("shingles").alias("of_a"))
-    both = sets.where("a <> b").join(centres, "a").select(
-        "a",
-        "b",
-        F.size(F.array_intersect("of_a", "shingles")).cast("long").alias("shared"),
-        (F.size("of_a") + F.size("shingles")).cast("long").alias("sizes"),
-    )
-    return both.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared")))
+    both = sets.where("a <> b").join(centres, "a")
+    return both.where(_similar("of_a", "shingles", percent))
 
 
 def _possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -169,33 +167,15 @@ def near_duplicates(
     marks = stored(fingerprints(docs, words, key), "fingerprints")
     digest = ["digest_a", "digest_b"]
     usable = marks.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
-    classes = usable.groupBy(*digest).agg(
-        F.min(key).cast("long").alias("node"),
-        *[F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("bits_a", "bits_a"), ("bits_b", "bits_b"), ("bands", "bands"))],
+    names = {"n_shingles": "n", "bits_a": "bits_a", "bits_b": "bits_b", "bands": "bands"}
+    classes = stored(
+        usable.groupBy(*digest).agg(
+            F.min(key).cast("long").alias("node"),
+            *[F.first(c).alias(name) for c, name in names.items()],
+        ),
+        "classes",
     )
-    classes = stored(classes, "classes")
-    info = classes.select("node", "n", "bits_a", "bits_b")
-    spread = classes.select("node", F.explode("bands").alias("bucket"))
-    first = F.min_by("node", F.xxhash64("node"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("centre"))
-    hits = stored(spread.join(shared.where("n > 1").drop("n"), "bucket"), "buckets")
-
-    pairs = hits.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    tested = stored(_possible(pairs.distinct(), info, percent), "pairs")
-    found = [stored(confirmed(docs, tested, words, percent, key).select("a", "b"), "confirmed")]
-    for turn in range(1, STAR_ROUNDS + 1):
-        labels = components(reduce(DataFrame.unionAll, found))
-        open_hits = stored(_unsettled(hits, labels), "unsettled")
-        if open_hits.isEmpty():
-            break
-        last = turn == STAR_ROUNDS
-        pairs = _across(open_hits) if last else _to_other_centre(open_hits, turn)
-        pairs = _possible(pairs, info, percent).join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found.append(stored(confirmed(docs, pairs, words, percent, key).select("a", "b"), "confirmed"))
-        tested = tested.unionAll(pairs)
-
-    labels = components(reduce(DataFrame.unionAll, found)) if len(found) > 1 else labels
+    labels = _links_joined(docs, classes, words, percent, key)
     named = classes.select(*digest, "node").join(labels, "node", "left")
     named = named.select(*digest, F.coalesce("component", "node").alias("component_id"))
     result = marks.select(key, "n_shingles", *digest).join(named, digest, "left")
@@ -209,10 +189,36 @@ def near_duplicates(
     )
 
 
+def _links_joined(docs: DataFrame, classes: DataFrame, words: int, percent: int, key: str):
+    """Components of the classes that are linked with another one."""
+    info = classes.select("node", "n", "bits_a", "bits_b")
+    spread = classes.select("node", F.explode("bands").alias("bucket"))
+    first = F.min_by("node", F.xxhash64("node"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), first.alias("centre"))
+    hits = stored(spread.join(shared.where("size > 1"), "bucket"), "buckets")
+
+    pairs = hits.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    tested = stored(_possible(pairs.distinct(), info, percent), "pairs")
+    links = stored(confirmed(docs, tested, words, percent, key).select("a", "b"), "confirmed")
+    labels = stored(components(links), "labels")
+
+    mixed = stored(_unsettled(hits, labels), "unsettled")
+    few = _across(mixed.where(F.col("size") <= SMALL))
+    few = stored(_possible(few, info, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    many = mixed.where(F.col("size") > SMALL)
+    wanted = many.select("node").unionAll(few.select(F.explode(F.array("a", "b")))).distinct()
+    sets = stored(_sets_of(docs, wanted, words, key), "shingle-sets")
+    links = links.unionAll(stored(_linked(few, sets, percent), "confirmed"))
+
+    joining = _joining(many.select("bucket", "node", "component"), sets, info, percent)
+    links = links.unionAll(stored(joining, "confirmed"))
+    return components(links)
+
+
 def _unsettled(hits: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with their component."""
     placed = hits.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
+        "bucket", "node", "size", F.coalesce("component", "node").alias("component")
     )
     mixed = placed.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
@@ -220,12 +226,95 @@ def _unsettled(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(mixed.where("low < high").select("bucket"), "bucket")
 
 
-def _to_other_centre(members: DataFrame, turn: int) -> DataFrame:
-    """One member of each bucket against those of other components."""
-    drawn = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node"))
-    centres = members.groupBy("bucket").agg(drawn.alias("centre"))
-    pairs = members.join(centres, "bucket").where("component <> centre.component")
-    return pairs.select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+def _sets_of(docs: DataFrame, nodes: DataFrame, words: int, key: str) -> DataFrame:
+    texts = docs.select(F.col(key).cast("long").alias("node"), text_or_empty().alias("text"))
+    texts = texts.join(nodes, "node").select("node", F.col("node").alias("b"), "text")
+    return _sets(texts, words).select(F.col("a").alias("node"), "shingles")
+
+
+def _joining(members: DataFrame, sets: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components inside large buckets.
+
+    A bucket is dealt into blocks of about ``BLOCK`` shingles, and every two blocks meet in a
+    group of their own, so a group has a bound and a bucket of any size is spread out.
+    Inside a group only members outside the largest component are looked up, and only
+    links that join two components so far apart are returned: fewer than members.
+    """
+    sized = members.join(info.select("node", "n"), "node")
+    blocks = sized.groupBy("bucket").agg((F.sum("n") / BLOCK).cast("int").alias("last"))
+    dealt = members.join(blocks, "bucket").withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("last")))
+    met = dealt.select("bucket", "node", "component", "own", other.alias("other"))
+    groups = met.select(
+        "bucket",
+        F.least("own", "other").alias("low"),
+        F.greatest("own", "other").alias("high"),
+        "component",
+        "node",
+    ).join(sets, "node")
+
+    def links(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_numpy()
+        component = group.column("component").to_numpy()
+        lists = group.column("shingles").combine_chunks()
+        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        a, b = _joining_links(nodes, component, values, bounds, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keyed = groups.select("bucket", "low", "high", "node", "component", "shingles")
+    return keyed.groupBy("bucket", "low", "high").applyInArrow(links, "a long, b long")
+
+
+def _joining_links(nodes, component, values, bounds, percent: int):
+    """Pairs of similar sets that together join all components that have one."""
+    n = len(nodes)
+    sizes = np.diff(bounds)
+    owners = np.repeat(np.arange(n), sizes)
+    values = values[bounds[0] : bounds[-1]]
+    order = np.argsort(values, kind="stable")
+    posting = owners[order]
+    ordered = values[order]
+    first = np.searchsorted(ordered, values, "left")
+    size = np.searchsorted(ordered, values, "right") - first
+    names, group = np.unique(component, return_inverse=True)
+    root = np.arange(len(names))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    largest = np.bincount(group).argmax()
+    start = bounds - bounds[0]
+    a, b = [], []
+    for x in np.flatnonzero(group != largest).tolist():
+        mine = slice(start[x], start[x + 1])
+        lengths = size[mine]
+        steps = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        shared = np.bincount(posting[np.repeat(first[mine], lengths) + steps], minlength=n)
+        near = np.flatnonzero(100 * shared >= percent * (sizes[x] + sizes - shared))
+        for y in near[group[near] != group[x]].tolist():
+            one, two = top(group[x]), top(group[y])
+            if one != two:
+                root[one] = two
+                a.append(nodes[x])
+                b.append(nodes[y])
+    return a, b
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose stored sets are similar enough."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(_similar("of_a", "of_b", percent)).select("a", "b")
+
+
+def _similar(of_a: str, of_b: str, percent: int) -> Column:
+    shared = F.size(F.array_intersect(of_a, of_b)).cast("long")
+    return 100 * shared >= percent * (F.size(of_a) + F.size(of_b) - shared)
 
 
 def _across(members: DataFrame) -> DataFrame:

@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.llm import decontam, langid, minhash, quality, toxicity
+from respeval.llm import decontam, langid, linededup, minhash, mixing, pii, quality, toxicity
 from respeval.llm.tables import held_out, read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    cleaned = linededup.without_boilerplate(docs, counts=True)
+    return cleaned.select(
+        "doc_id",
+        F.col("_lines_").alias("n_lines"),
+        F.col("_dropped_").alias("n_dropped"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rates = mixing.document_rates(docs, mixing.labelled_domains(labels), mixing.TARGETS)
+    shares = [F.col("posteriors")[name].alias(f"p_{name}") for name in sorted(mixing.TARGETS)]
+    return rates.select("doc_id", "n_tokens", *shares, "rate")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
@@ -35,6 +54,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    actions = pii.term_actions(pii.disclosing_terms(docs))
+    spans = pii.with_all_spans(docs, actions)
+    return spans.select(
+        "doc_id",
+        *[F.size(f"_{kind}_").cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.joined_spans(pii.KINDS), 256).alias("base_sha256"),
+        pii.joined_spans([*pii.KINDS, "term"]).alias("spans"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontam.find_items(docs, items)
@@ -45,9 +76,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_mixing": op2_mixing,
     "op3_minhash": op3_minhash,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_pii": op6_pii,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
