@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.llm import decontam, langid, linededup, minhash, mixing, pii, quality, substrings, toxicity
+from respeval.llm import decontam, langid, licenses, linededup, minhash, mixing, pii, quality, substrings, toxicity
 from respeval.llm.tables import held_out, read
 
 
@@ -70,6 +70,10 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(read(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontam.find_items(docs, items)
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_suffix_array": op7_suffix_array,
+    "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
