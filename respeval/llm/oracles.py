@@ -41,4 +41,7 @@ FROM pages p LEFT JOIN rebuilt r USING (page)
 
 
 def registered() -> dict[str, str]:
-    return dict(ORACLES)
+    import corpus_pipeline
+
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLES | own

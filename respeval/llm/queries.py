@@ -99,4 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage, by name."""
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
