@@ -240,11 +240,9 @@ def without_items(
     docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
 ) -> DataFrame:
     """The documents that contain no item, columns unchanged; rows are filtered as read."""
-    columns = docs.columns
-    rest = docs.withColumn("_searched_text_", text_or_empty())
     for held in item_blocks(items, similarity, words):
-        rest = map_texts(rest, rest.columns, "", _clean_rows(rest, held, words), "_searched_text_")
-    return rest.select(*columns)
+        docs = map_texts(docs, docs.columns, "", _clean_rows(docs, held, words))
+    return docs
 
 
 def _clean_rows(docs: DataFrame, held: ItemBlock, words: int):

@@ -170,13 +170,17 @@ def mixed(
     targets: Mapping[str, float],
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """The documents with a ``rate`` above zero, with that rate; the others have no share."""
+    """The documents with a rate above zero, with that ``rate``; the others have no share.
+
+    A column of that name is replaced.
+    """
     model = train(docs, domains, sample_rows)
     if model is None:
         return docs.withColumn("rate", F.lit(1.0))
     scored = with_posteriors(docs, model)
     rate, _ = fit_rates(stored(scored.select("_tokens_", "_posteriors_"), "posteriors"), model, targets)
-    return scored.select(*docs.columns, rate.alias("rate")).where("rate > 0")
+    columns = [c for c in docs.columns if c != "rate"]
+    return scored.where(rate > 0).select(*columns, rate.alias("rate"))
 
 
 def document_rates(

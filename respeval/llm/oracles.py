@@ -39,6 +39,31 @@ FROM pages p LEFT JOIN rebuilt r USING (page)
 """,
 }
 
+#: Words are runs of letters and digits, A-Z in lower case; shingles have five words.
+ORACLES["op9_decontamination"] = r"""
+WITH texts AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents
+    UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+    SELECT kind, id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM texts
+), shingles AS (
+    SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS shingle
+    FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM words)
+), sizes AS (
+    SELECT id, count(*) AS n_shingles FROM shingles WHERE kind = 'b' GROUP BY id
+), shared AS (
+    SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
+    FROM shingles d JOIN shingles b USING (shingle)
+    WHERE d.kind = 'd' AND b.kind = 'b' GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM shared JOIN sizes ON item_id = id
+WHERE 100 * n_shared >= 80 * n_shingles
+"""
+
 
 def registered() -> dict[str, str]:
     import corpus_pipeline

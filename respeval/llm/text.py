@@ -228,7 +228,7 @@ def map_texts(
     keep = list(keep)
     added = StructType.fromDDL(columns) if columns else StructType()
     schema = StructType([docs.schema[k] for k in keep] + added.fields)
-    source = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text_"))
+    source = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_mapped_text_"))
     names, wanted = schema.names, len(added.fields)
 
     def run(batches):

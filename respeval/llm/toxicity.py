@@ -124,12 +124,7 @@ def train(
     )
 
 
-def score(
-    docs: DataFrame,
-    model: tuple[np.ndarray, np.ndarray],
-    keep: Sequence[str] = ("doc_id",),
-) -> DataFrame:
-    """``keep`` plus ``score``, the probability that a text is toxic."""
+def _scorer(model: tuple[np.ndarray, np.ndarray]):
     order = np.argsort(model[0])
     at, weights = model[0][order], model[1][order]
     intercept = float(weights[at == DIMENSION].sum())
@@ -145,11 +140,20 @@ def score(
         sums = np.bincount(pairs // len(at), weights[pairs % len(at)], minlength=texts)
         return [1.0 / (1.0 + np.exp(-np.clip(sums + intercept, -35, 35)))]
 
-    return map_texts(docs, keep, "score double", kernel)
+    return kernel
+
+
+def score(
+    docs: DataFrame,
+    model: tuple[np.ndarray, np.ndarray],
+    keep: Sequence[str] = ("doc_id",),
+) -> DataFrame:
+    """``keep`` plus ``score``, the probability that a text is toxic."""
+    return map_texts(docs, keep, "score double", _scorer(model))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, columns unchanged."""
-    judged = docs.withColumn("_source_text_", F.col("text"))
-    scored = score(judged, train(docs, labels), judged.columns[:-1])
-    return scored.where(F.col("score") < threshold).select(*docs.columns)
+    scorer = _scorer(train(docs, labels))
+    clean = lambda data, offsets: [scorer(data, offsets)[0] < threshold]
+    return map_texts(docs, docs.columns, "", clean)
