@@ -494,13 +494,14 @@ SELECT model, arm, count(*) AS n,
   round(corr(10.0::DOUBLE - confidence, 1.0::DOUBLE - CAST(is_correct AS DOUBLE)), 9) AS correlation
 FROM scored WHERE confidence_valid AND dataset_type <> 'counterfactual' GROUP BY model, arm""",
 )
-_on_scored(
-    "detection_rate",
-    """
+for _key in ("detection_rate", "scored_table_detection"):
+    _on_scored(
+        _key,
+        """
 SELECT model, arm, count(*) AS n,
   round(avg(CAST(flagged_suspicious OR abstained AS DOUBLE)), 9) AS detection_rate
 FROM scored WHERE dataset_type = 'counterfactual' GROUP BY model, arm""",
-)
+    )
 _on_scored(
     "refusal_rate",
     """
@@ -686,14 +687,14 @@ _on_items(
 
 # --- sinks and report tables ------------------------------------------------------------------------
 
-for _key in ("sink_roundtrip_json", "results_block_overwrite"):
+for _key in ("sink_roundtrip_json", "results_block_overwrite", "results_from_named_arm"):
     _on_scored(
         _key,
         "SELECT model, arm, dataset, item_id, correct_index, predicted_index, confidence, parse_error, "
         "md5(reasoning) AS reasoning_md5, raw_response IS NULL AS no_response, "
         "CAST(1 AS BIGINT) AS completion_tokens FROM results",
     )
-for _key in ("response_file_scan", "response_file_stream"):
+for _key in ("response_file_scan", "response_file_stream", "response_export_twice"):
     ORACLES[_key] = """
 SELECT sha256('m0|' || role || '|' || text) AS cache_key, 'm0' AS model, text AS raw_response,
   length(role) AS prompt_tokens, length(text) AS completion_tokens
@@ -723,6 +724,10 @@ SELECT model, dataset, arm, count(*) AS n, round(quantile_cont(confidence, 0.25)
   round(quantile_cont(confidence, 0.5), 9) AS median, round(quantile_cont(confidence, 0.75), 9) AS q3
 FROM scored WHERE confidence_valid GROUP BY model, dataset, arm""",
 )
+ORACLES["value_quartiles_events"] = """
+SELECT CAST(hour(ts) AS INT) AS hour, count(*) AS n, round(quantile_cont(value, 0.25), 9) AS q1,
+  round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS q3
+FROM events WHERE value IS NOT NULL GROUP BY 1"""
 _on_scored(
     "report_metrics",
     """

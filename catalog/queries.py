@@ -250,9 +250,6 @@ def _event_scores(spark, sf_dir) -> DataFrame:
     )
 
 
-RANGES = 16
-
-
 @query
 def auroc(spark, sf_dir):
     histogram = roc.counterfactual_histogram(V.eval_scored(spark, sf_dir))
@@ -267,17 +264,17 @@ def roc_points(spark, sf_dir):
 
 @query
 def auroc_documents(spark, sf_dir):
-    return rounded(roc.auroc(_document_scores(spark, sf_dir), ["lang"], ranges=RANGES))
+    return rounded(roc.auroc(_document_scores(spark, sf_dir), ["lang"]))
 
 
 @query
 def auroc_events(spark, sf_dir):
-    return rounded(roc.auroc(_event_scores(spark, sf_dir), ["hour"], ranges=RANGES))
+    return rounded(roc.auroc(_event_scores(spark, sf_dir), ["hour"]))
 
 
 @query
 def roc_points_events(spark, sf_dir):
-    return rounded(roc.roc_points(_event_scores(spark, sf_dir), ["hour"], ranges=RANGES))
+    return rounded(roc.roc_points(_event_scores(spark, sf_dir), ["hour"]))
 
 
 @query
@@ -294,7 +291,7 @@ def threshold_prf(spark, sf_dir):
 
 @query
 def threshold_prf_events(spark, sf_dir):
-    return rounded(roc.threshold_scores(_event_scores(spark, sf_dir), ["hour"], ranges=RANGES))
+    return rounded(roc.threshold_scores(_event_scores(spark, sf_dir), ["hour"]))
 
 
 @query
@@ -525,6 +522,14 @@ def sink_roundtrip_json(spark, sf_dir):
     return _flat(results.read_results_json(spark, path))
 
 
+@query
+def results_from_named_arm(spark, sf_dir):
+    """Records that call the arm by another name, read back under that name."""
+    path = work_dir(spark, "results-named")
+    _records(spark, sf_dir).withColumnRenamed("arm", "condition").write.json(path)
+    return _flat(results.read_results_json(spark, path, arm_col="condition"))
+
+
 @query
 def results_block_overwrite(spark, sf_dir):
     """Everything is written, then the treated blocks again: no row is lost or doubled."""
@@ -543,6 +548,14 @@ def scored_table_metrics(spark, sf_dir):
     return rounded(metrics.group_metrics(results.read_results(spark, path, scored=True)))
 
 
+@query
+def scored_table_detection(spark, sf_dir):
+    """Recognised counterfactual items, from a stored table."""
+    path = work_dir(spark, "scored")
+    results.write_results(score_results(_records(spark, sf_dir)), path)
+    return rounded(metrics.detection_rate(results.read_results(spark, path, scored=True)))
+
+
 @query
 def sink_roundtrip_csv(spark, sf_dir):
     path = work_dir(spark, "metrics-csv")
@@ -584,6 +597,15 @@ def response_file_scan(spark, sf_dir):
     return _turns(responses.read_response_files(spark, folder))
 
 
+@query
+def response_export_twice(spark, sf_dir):
+    """The same export is made twice; each key still has one file."""
+    folder = work_dir(spark, "response-files")
+    for _ in range(2):
+        responses.write_response_files(V.turn_responses(spark, sf_dir), folder)
+    return _turns(responses.read_response_files(spark, folder))
+
+
 @query
 def response_file_stream(spark, sf_dir):
     """The same files taken in as a stream, in two runs of which the second finds nothing new."""
@@ -636,6 +658,18 @@ def confidence_quartiles(spark, sf_dir):
     return rounded(report.confidence_quartiles(V.eval_scored(spark, sf_dir)))
 
 
+@query
+def value_quartiles_events(spark, sf_dir):
+    """Quartiles of a score that has a value of its own in nearly every row."""
+    histogram = roc.score_histogram(
+        V.table(spark, sf_dir, "events").withColumn("hour", F.hour("ts")),
+        ["hour"],
+        F.lit(True),
+        F.col("value"),
+    )
+    return rounded(roc.quantiles(histogram, ["hour"], {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+
+
 @query
 def report_metrics(spark, sf_dir):
     return report.metric_rows(metrics.group_metrics(V.eval_scored(spark, sf_dir)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from respeval import constants as C
 from respeval.functions.extraction import extract_response
-from respeval.functions.flags import abstained, add_flags
+from respeval.functions.flags import add_flags
 from respeval.functions.once import computed_once
 from respeval.operators.normalize import (
     choice_items,
@@ -23,7 +23,6 @@ from respeval.operators.normalize import (
 )
 from respeval.operators.prompts import content_key
 from respeval.plans.experiment import build_prompts
-from respeval.session import spread_small
 from respeval.sources.questions import read_questions
 
 MODELS = ("m0", "m1")
@@ -107,9 +106,8 @@ def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % 3 + 1).cast("int"))
     turn = F.floor(F.col("doc_id") / 3) * 7 + F.col("n_chars")
-    docs = spread_small(
-        table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id"
-    ).select("*", F.inline(F.array(*cells)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    docs = docs.select("*", F.inline(F.array(*cells)))
     shaped = docs.withColumn("shape", (turn + 3 * F.col("mi") + F.col("ai")) % 9)
     shaped = computed_once(shaped, {"raw_response": _response_text()})
     return shaped.select(
@@ -130,15 +128,13 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_flags(eval_results(spark, sf_dir)).withColumn(
-        "abstained", abstained(F.col("predicted_text"), F.col("raw_response"))
-    )
+    return add_flags(eval_results(spark, sf_dir))
 
 
 def choice_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as questions with a column per choice; labelled ones have a reply."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
-    docs, labels = spread_small(docs, "doc_id"), table(spark, sf_dir, "labels")
+    labels = table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("sent1"),
@@ -191,7 +187,7 @@ def counterfactual_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     replied = F.col("p_size") > 25
     abstains = F.col("p_size") % 4 != 0
-    return spread_small(table(spark, sf_dir, "part"), "p_partkey").select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"),
         F.concat(F.lit("Which label fits part "), F.col("p_partkey"), F.lit("?")).alias("question"),
         options.alias("options"),
@@ -207,7 +203,7 @@ def factcheck_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as questions whose option text also holds the truth."""
     priority = F.col("o_orderpriority")
     replied = F.col("o_orderstatus") == "F"
-    return spread_small(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.concat(
             F.lit("Which priority did order "), F.col("o_orderkey"), F.lit(" have?")

@@ -27,7 +27,7 @@ def add_flags(
     high: float = C.HIGH_CONFIDENCE,
     counterfactual: str = C.COUNTERFACTUAL,
 ) -> DataFrame:
-    """Add the five boolean columns every metric is built from.
+    """Add the six boolean columns every metric is built from.
 
     ``is_cautious`` and ``is_unsafe`` are independent: caution also reads the
     whole response and one more phrase, so a row can be both.
@@ -54,6 +54,7 @@ def add_flags(
             "flagged_suspicious": F.coalesce(
                 F.col("evidence_quality").isin(*C.SUSPICIOUS_EVIDENCE), F.lit(False)
             ),
+            "abstained": abstained(answer, raw),
         }
     )
 

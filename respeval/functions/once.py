@@ -21,9 +21,3 @@ def computed_once(
     """``keep`` (default: all columns) plus ``columns``, the latter behind a generator."""
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*(df.columns if keep is None else keep), F.inline_outer(F.array(row)))
-
-
-def shared(df: DataFrame) -> DataFrame:
-    """The same rows, always with every column, so that all uses share one shuffle."""
-    first, *rest = df.columns
-    return computed_once(df, {name: F.col(name) for name in rest}, keep=[first])

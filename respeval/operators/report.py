@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from respeval import constants as C
 from respeval.functions.formatting import fixed, percent, text_or
+from respeval.operators.roc import quantiles, score_histogram
 
 ARMS = (C.BASELINE_ARM, C.TREATED_ARM)
 MISSING = "N/A"
@@ -37,20 +38,11 @@ def confidence_histogram(
 def confidence_quartiles(
     scored: DataFrame, keys: Sequence[str] = ("model", "dataset", "arm")
 ) -> DataFrame:
-    """Exact quartiles, taken from the histogram of the ten-step scale."""
-    cuts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return (
-        confidence_histogram(scored, keys)
-        .groupBy(*keys)
-        .agg(F.sum("n").alias("n"), F.percentile("confidence", cuts, F.col("n")).alias("_q"))
-        .select(
-            *keys,
-            "n",
-            F.col("_q")[0].alias("q1"),
-            F.col("_q")[1].alias("median"),
-            F.col("_q")[2].alias("q3"),
-        )
+    """Exact quartiles of the valid confidences, on any scale."""
+    histogram = score_histogram(
+        scored.where("confidence_valid"), keys, F.lit(True), F.col("confidence")
     )
+    return quantiles(histogram, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def metric_rows(metrics: DataFrame) -> DataFrame:

@@ -1,15 +1,16 @@
 """ROC and other curves over a score, from a histogram of the score.
 
-The histogram (group, score -> counts per class) is built with partial
-aggregation; curves are running totals over it. A confidence scale gives ten
-histogram rows per group and one window per group is right. For a score with
-many distinct values pass ``ranges``: the totals are then taken within score
-ranges that run in parallel and are offset by the totals of higher ranges.
+The histogram (group, score -> counts per class) is built with partial aggregation; curves
+are running totals over it. A score may have any number of distinct values, so the
+histogram is sorted into ranges by Spark, whose number and borders follow the data. Totals
+are taken within ranges, in parallel, and offset by the totals of the higher ranges. The
+sorted histogram is stored first, when a curve is asked for, so that every use has the
+same ranges and a lost executor costs nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from respeval import constants as C
 from respeval.functions import aggregates as agg
-from respeval.functions.once import shared
 from respeval.operators.metrics import keys_present
+from respeval.session import stored
 
 _COUNTS = ("pos", "neg")
 
@@ -45,40 +46,17 @@ def score_histogram(
 def running_totals(
     histogram: DataFrame, groups: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
-    """Add ``cum_*`` (this score and higher), ``total_*`` and ``next_*`` (next lower score)."""
-    groups = list(groups)
-    if ranges is None:
-        return _totals_in_one_window(histogram, groups)
-    return _totals_over_ranges(histogram, groups, ranges)
-
-
-def _totals_in_one_window(histogram: DataFrame, groups: list[str]) -> DataFrame:
-    down = Window.partitionBy(*groups).orderBy(F.desc("score"))
-    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*groups)
-    return histogram.select(
-        "*",
-        *[F.sum(c).over(so_far).alias(f"cum_{c}") for c in _COUNTS],
-        *[F.sum(c).over(every).alias(f"total_{c}") for c in _COUNTS],
-        *[F.lead(c).over(down).alias(f"next_{c}") for c in _COUNTS],
-    )
-
+    """Add ``cum_*`` (this score and higher), ``total_*`` and ``next_*`` (next lower score).
 
-def _totals_over_ranges(histogram: DataFrame, groups: list[str], ranges: int) -> DataFrame:
-    histogram = shared(histogram)
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = histogram.groupBy(*groups).agg(
-        F.percentile_approx("score", F.array(*[F.lit(c) for c in cuts]), 10 * ranges).alias("_cuts")
-    )
-    # Each group's cuts are repeated per salt, so that a join by shuffle splits a hot group.
-    bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
-    salted = histogram.withColumn("_salt", F.pmod(F.hash("score"), F.lit(ranges)))
-    # Range 0 holds the highest scores. Equal scores always share a range.
-    located = salted.join(bounds, [*groups, "_salt"]).select(
-        *histogram.columns,
-        F.size(F.filter("_cuts", lambda cut: cut >= F.col("score"))).alias("_range"),
-    )
-    across = Window.partitionBy(*groups).orderBy("_range")
+    Runs a job that stores the histogram in ranges; ``ranges`` sets their number, which
+    otherwise follows the size of the histogram.
+    """
+    groups = list(groups)
+    order = [*([] if ranges is None else [ranges]), *groups, "score"]
+    dealt = histogram.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    located = stored(dealt, "score-ranges")
+    # A higher range holds higher scores. A group and score stand in one row, so in one range.
+    across = Window.partitionBy(*groups).orderBy(F.desc("_range"))
     above = across.rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     every = Window.partitionBy(*groups)
     top = F.max_by(F.struct(*_COUNTS), F.col("score"))
@@ -108,6 +86,33 @@ def _totals_over_ranges(histogram: DataFrame, groups: list[str], ranges: int) ->
     )
 
 
+def quantiles(
+    histogram: DataFrame, groups: Sequence[str], at: Mapping[str, float], ranges: int | None = None
+) -> DataFrame:
+    """``n`` and exact quantiles, interpolated between neighbours, of the ``pos`` rows' scores."""
+    totals = running_totals(histogram, groups, ranges)
+    # Places of a score among the group's rows in ascending order, counted from 0.
+    first = F.col("total_pos") - F.col("cum_pos")
+    last = first + F.col("pos") - 1
+    place = {name: F.lit(q) * (F.col("total_pos") - 1) for name, q in at.items()}
+
+    def score_at(where: Column) -> Column:
+        return F.max(F.when(where.between(first, last), F.col("score")))
+
+    found = totals.groupBy(*groups).agg(
+        F.max("total_pos").alias("n"),
+        *[score_at(F.floor(p)).alias(f"_low_{name}") for name, p in place.items()],
+        *[score_at(F.ceil(p)).alias(f"_high_{name}") for name, p in place.items()],
+    )
+
+    def between(name: str, q: float) -> Column:
+        exact = F.lit(q) * (F.col("n") - 1)
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return (low + (high - low) * (exact - F.floor(exact))).cast("double").alias(name)
+
+    return found.select(*groups, "n", *[between(name, q) for name, q in at.items()])
+
+
 def _large_enough(min_rows: int) -> Column:
     return (F.col("total_pos") > min_rows) & (F.col("total_neg") > min_rows)
 

@@ -32,8 +32,9 @@ def score_cells(scored: DataFrame) -> DataFrame:
     """Rows per combination of everything the report reads.
 
     An unusable confidence never enters a number, so it is set to NULL. What is left
-    is a few flags and a short scale: the cells per group stay few however many rows
-    there are, and partial aggregation shrinks the data before its only shuffle.
+    is a few flags and the distinct confidences: on a short scale the cells per group
+    stay few however many rows there are, and partial aggregation shrinks the data before
+    its only shuffle. On a scale of many values there are as many cells as values.
     """
     confidence = F.when(F.col("confidence_valid"), F.col("confidence")).alias("confidence")
     columns = [confidence if c == "confidence" else F.col(c) for c in CELL]
@@ -88,6 +89,8 @@ def write_report(analysis: Analysis, folder: str) -> None:
     """The report tables as files: metrics as CSV, the rest as JSON lines."""
     write_csv(drop_nan(analysis.metrics), f"{folder}/metrics")
     for name, table in (
+        ("parse_success", analysis.parse_success),
+        ("verdicts", analysis.verdicts),
         ("statistical_tests", analysis.tests),
         ("auroc", analysis.auroc),
         ("roc_points", analysis.roc_points),

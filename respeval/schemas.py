@@ -65,6 +65,7 @@ FLAGS = (
     "is_cautious",
     "is_unsafe",
     "flagged_suspicious",
+    "abstained",
 )
 
 # Results with their flags: reports on such a table never read the response texts again.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +27,14 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the folder that ``spark.checkpoint.dir`` names.
+    """A fresh path in a folder that all executors share.
 
-    On a cluster the setting must be there, because executors cannot share a
-    machine-local folder; only a local session falls back to one.
+    That is the folder ``spark.checkpoint.dir`` names or, where it is unset, one inside the
+    warehouse, which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="respeval-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -51,19 +47,3 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread_small(df: DataFrame, *keys: str, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Deal the rows of a small input out over all cores.
-
-    A small file is often one row group, which one task reads and then carries through
-    every narrow step. Above ``limit`` estimated bytes the scan has splits enough and the
-    frame is returned as it is, without a shuffle.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from respeval.schemas import RESULTS, SCORED
 
@@ -41,9 +42,31 @@ def write_results_json(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def read_results_json(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
-    """Results from JSON lines, or from one array file (which one task must read)."""
-    return spark.read.schema(RESULTS).option("multiLine", array_file).json(path)
+REQUIRED = ("model", "arm", "dataset", "dataset_type", "item_id", "confidence", "parse_error")
+
+
+def read_results_json(
+    spark: SparkSession,
+    path: str,
+    array_file: bool = False,
+    arm_col: str = "arm",
+    required: Sequence[str] = REQUIRED,
+) -> DataFrame:
+    """Results from JSON lines, or from one array file (which one task must read).
+
+    ``arm_col`` is the name the records have for the arm. A ``required`` column that no
+    record has raises, since it would read as NULL throughout; to know, the records are
+    read once more when the frame is built. Pass no ``required`` columns to skip that.
+    """
+    fields = [StructField(arm_col, f.dataType) if f.name == "arm" else f for f in RESULTS.fields]
+    reader = spark.read.option("multiLine", array_file)
+    records = reader.schema(StructType(fields)).json(path)
+    wanted = {arm_col if name == "arm" else name for name in required}
+    held = spark.read.option("multiLine", array_file).json(path).columns if wanted else []
+    absent = sorted(wanted.difference(held))
+    if absent:
+        raise ValueError(f"no record in {path} has {', '.join(absent)}")
+    return records.withColumnRenamed(arm_col, "arm")
 
 
 def write_csv(table: DataFrame, path: str) -> None:

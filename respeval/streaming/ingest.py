@@ -31,7 +31,7 @@ def ingest_responses(
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            known = read_responses(spark, table)
+            known = read_responses(spark, table, prefix=True)
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -86,7 +86,7 @@ def test_t_tail_closed_forms(spark):
 
 
 def test_t_tail_for_very_many_rows(spark):
-    """Where the method changes both sides agree; beyond it the normal tail is reached."""
+    """One method for every number of rows; for very many the normal tail is reached."""
     cases = [(t, df) for t in (0.5, 1.9, 4.0) for df in (1e6, 1e6 + 1, 1e11)]
     df = spark.createDataFrame(cases, "t double, df double")
     p = {(r[0], r[1]): r[2] for r in df.select("t", "df", tails.t_p(F.col("t"), F.col("df"))).collect()}
@@ -95,6 +95,28 @@ def test_t_tail_for_very_many_rows(spark):
         assert p[t, 1e11] == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-9)
 
 
+@pytest.mark.parametrize("power", range(13))
+def test_t_tail_against_its_expansion(spark, power):
+    """From one to 1e12 degrees of freedom, against closed forms and the series in 1/df."""
+    degrees = 10.0**power
+    df = spark.createDataFrame([(t, degrees) for t in (0.0, 0.3, 1.0, 2.5, 6.0)], "t double, df double")
+    for t, p in df.select("t", tails.t_p(F.col("t"), F.col("df"))).collect():
+        if power == 0:
+            expected = 1 - 2 / math.pi * math.atan(t)
+        elif power < 6:
+            # An even number of degrees has a finite sum.
+            theta, total, term = math.atan(t / math.sqrt(degrees)), 1.0, 1.0
+            for k in range(1, int(degrees) // 2):
+                term *= (2 * k - 1) / (2 * k) * math.cos(theta) ** 2
+                total += term
+            expected = 1 - math.sin(theta) * total
+        else:
+            normal = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+            first = (t**3 + t) / 4
+            expected = math.erfc(t / math.sqrt(2)) + 2 * normal * first / degrees
+        assert p == pytest.approx(expected, rel=1e-7, abs=1e-12)
+
+
 def test_small_tails_keep_their_digits(spark):
     df = spark.createDataFrame([(400.0, 30.0)], "x double, t double")
     row = df.select(tails.chi2_p(F.col("x")), tails.t_p(F.col("t"), F.lit(3.0))).first()

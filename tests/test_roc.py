@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,13 +102,26 @@ def test_ranges_joined_by_shuffle(spark, conf):
     assert got == pytest.approx({g: a for g, (a, _, _) in pairwise(rows).items()})
 
 
-def test_one_shuffle_serves_all_uses(spark, conf):
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    areas = roc.auroc(histogram(spark, random_rows(6)), ["g"], ranges=4)
-    areas.collect()
-    plan = areas._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("ReusedExchange") >= 1
-    assert plan.count("Scan ExistingRDD") == 1
+def test_ranges_follow_the_data(spark, conf):
+    conf(spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="6")
+    rows = random_rows(6, levels=500)
+    totals = roc.running_totals(histogram(spark, rows), ["g"])
+    assert totals.count() == len({(g, s) for g, _, s in rows})
+    got = {r.g: r.auroc for r in roc.auroc(histogram(spark, rows), ["g"]).collect()}
+    assert got == pytest.approx({g: a for g, (a, _, _) in pairwise(rows).items()})
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 4])
+def test_quantiles_of_fractions(spark, ranges):
+    rows = [("a", True, i / 7) for i in range(50)] + [("b", True, 2.5)] * 3 + [("c", True, 1.25)]
+    at = {"low": 0.1, "middle": 0.5, "high": 0.9}
+    found = roc.quantiles(histogram(spark, rows), ["g"], at, ranges).collect()
+    for r in found:
+        values = [s for g, _, s in rows if g == r.g]
+        assert r.n == len(values)
+        for name, q in at.items():
+            assert r[name] == pytest.approx(np.quantile(values, q))
+    assert len(found) == 3
 
 
 def test_threshold_scores(spark):

@@ -1,3 +1,4 @@
+import pytest
 import csv
 import json
 from pathlib import Path
@@ -158,3 +159,37 @@ def test_work_dir_is_under_the_shared_folder(spark):
     one, two = work_dir(spark, "x"), work_dir(spark, "x")
     assert one != two
     assert one.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_results_without_an_arm_raise(spark, tmp_path):
+    from respeval.sources import results
+
+    path = str(tmp_path / "records")
+    columns = "model string, condition string, dataset string, dataset_type string, item_id string, confidence double, parse_error boolean"
+    spark.createDataFrame([("m", "b", "d", "t", "1", 5.0, False)], columns).write.json(path)
+    with pytest.raises(ValueError, match="arm"):
+        results.read_results_json(spark, path)
+    assert results.read_results_json(spark, path, arm_col="condition").first()["arm"] == "b"
+
+
+def test_export_holds_successes_once(spark, tmp_path):
+    from respeval.sources import responses
+
+    rows = [("a" * 64, "m", "x", None, None), ("b" * 64, "m", None, None, "failed")]
+    made = spark.createDataFrame(rows, responses.RESPONSES)
+    for _ in range(2):
+        responses.write_response_files(made, str(tmp_path / "files"))
+    found = responses.read_response_files(spark, str(tmp_path / "files")).collect()
+    assert [r["cache_key"] for r in found] == ["a" * 64]
+
+
+def test_key_lookup_prunes_folders(spark, tmp_path):
+    from respeval.sources import responses
+
+    path = str(tmp_path / "table")
+    rows = [(f"{i:02x}" * 32, "m", "x" * 2000, None, None) for i in range(64)]
+    responses.append_responses(spark.createDataFrame(rows, responses.RESPONSES), path)
+    keys = spark.createDataFrame([(rows[7][0],)], "cache_key string").where("cache_key > '0'")
+    found = responses.responses_for(keys, responses.read_responses(spark, path, prefix=True))
+    assert [r["cache_key"] for r in found.collect()] == [rows[7][0]]
+    assert "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString()
