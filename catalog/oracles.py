@@ -7,6 +7,8 @@ was made of.
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 ORACLES: dict[str, str] = {}
 
 
@@ -467,6 +469,53 @@ SELECT model, arm, score AS threshold, round(CAST(tp + fp AS DOUBLE) / (np + nn)
     _CORRECT + "," + _CUMULATED.format(g=_MA),
 )
 
+_WEIGHT = "CASE " + " ".join(
+    # The distribution function of Poisson(1) in units of 2**-32.
+    f"WHEN u < {round(sum(exp(-1) / factorial(i) for i in range(k + 1)) * 2**32)} THEN {k}"
+    for k in range(12)
+) + " ELSE 12 END"
+
+
+def _drawn(text: str) -> str:
+    return f"CAST('0x' || substr(md5('42|' || {text}), 1, 8) AS BIGINT)"
+
+
+_on_scored(
+    "auroc_bootstrap_ci",
+    """
+SELECT model, arm, round(any_value(a.area), 9) AS auroc,
+  round(quantile_cont(d.area, 0.025), 9) AS auroc_low,
+  round(quantile_cont(d.area, 0.975), 9) AS auroc_high, count(d.area) AS replicates
+FROM areas a JOIN areas d USING (model, arm)
+WHERE a.replicate = 0 AND a.np > 5 AND a.nn > 5 AND d.replicate > 0 AND d.np > 0 AND d.nn > 0
+GROUP BY model, arm""",
+    f"""
+blocks AS (
+  SELECT model, arm, {_drawn("item_id")} % 100 AS block, confidence AS score,
+    count(*) FILTER (WHERE is_correct) AS pos, count(*) FILTER (WHERE NOT is_correct) AS neg
+  FROM scored WHERE confidence_valid AND dataset_type <> 'counterfactual' GROUP BY ALL
+),
+draws AS (
+  SELECT block, replicate, {_WEIGHT} AS w FROM (
+    SELECT block, r AS replicate, {_drawn("block || '|' || r")} AS u
+    FROM range(100) AS b(block), range(1, 201) AS c(r))
+  UNION ALL SELECT block, 0, 1 FROM range(100) AS b(block)
+),
+hist AS (
+  SELECT model, arm, replicate, score, sum(w * pos) AS pos, sum(w * neg) AS neg
+  FROM blocks JOIN draws USING (block) GROUP BY ALL
+),
+cum AS (
+  SELECT *, sum(pos) OVER (PARTITION BY model, arm, replicate ORDER BY score DESC) AS tp FROM hist
+),
+areas AS (
+  SELECT model, arm, replicate, sum(pos) AS np, sum(neg) AS nn,
+    CAST(sum(neg * (tp - pos / 2.0::DOUBLE)) AS DOUBLE)
+      / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS area
+  FROM cum GROUP BY model, arm, replicate
+)""",
+)
+
 # --- calibration and rates -----------------------------------------------------------------
 
 _on_scored(

@@ -302,8 +302,13 @@ def risk_coverage(spark, sf_dir):
 
 @query
 def auroc_bootstrap_ci(spark, sf_dir):
-    histogram = roc.correctness_histogram(V.eval_scored(spark, sf_dir))
-    return rounded(roc.bootstrap_auroc(histogram, MODEL_ARM, replicates=200))
+    scored = V.eval_scored(spark, sf_dir)
+    answerable = scored.where("confidence_valid").where(F.col("dataset_type") != C.COUNTERFACTUAL)
+    return rounded(
+        roc.bootstrap_auroc(
+            answerable, MODEL_ARM, F.col("is_correct"), F.col("confidence"), replicates=200
+        )
+    )
 
 
 @query

@@ -10,10 +10,9 @@ same ranges and a lost executor costs nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,32 +236,61 @@ def correctness_histogram(
     )
 
 
+def _poisson_borders() -> list[int]:
+    """Where the distribution function of Poisson(1) crosses, in units of 2**-32."""
+    borders, mass, total = [], math.exp(-1), 0.0
+    for k in range(12):
+        total += mass
+        borders.append(round(total * 2**32))
+        mass /= k + 1
+    return borders
+
+
 def bootstrap_auroc(
-    histogram: DataFrame,
+    df: DataFrame,
     groups: Sequence[str],
+    positive: Column,
+    score: Column,
+    id_col: str = "item_id",
     replicates: int = 1000,
+    blocks: int = 100,
     seed: int = C.SAMPLE_SEED,
     level: float = 0.95,
     min_rows: int = C.MIN_CLASS_ROWS,
 ) -> DataFrame:
-    """Percentile interval of the AUROC from a Poisson bootstrap.
+    """Percentile interval of the AUROC from a block bootstrap.
 
-    Resampling n rows of one cell with Poisson(1) weights is a Poisson(n) draw, so
-    each replicate redraws the histogram, not the rows. A draw's generator is keyed
-    by seed, cell and replicate: the same on every run and partitioning.
+    A hash of its id puts each item into one of ``blocks`` blocks, so the rows of an item
+    are drawn together. A replicate gives every block a Poisson(1) weight, taken from a hash
+    of seed, block and replicate, and sums the blocks' histograms by weight: the rows are
+    read once, whatever the number of replicates, and draws repeat on every run and
+    engine. Replicates without a row of either class have no area and are not counted.
     """
     groups = list(groups)
-    cell = [F.col(g).cast("string") for g in groups] + [F.col("score").cast("string")]
-    draws = histogram.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    key = F.xxhash64(F.lit(seed), F.col("replicate"), *cell)
-    pos, neg = _poisson()(key, F.lit(1), F.col("pos")), _poisson()(key, F.lit(2), F.col("neg"))
-    redrawn = draws.select(*groups, "replicate", "score", pos.alias("pos"), neg.alias("neg"))
+
+    def drawn(*parts: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+    block = drawn(F.col(id_col).cast("string")) % blocks
+    by_block = score_histogram(df.withColumn("_block", block), [*groups, "_block"], positive, score)
+    histogram = by_block.groupBy(*groups, "score").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    each = by_block.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    uniform = drawn(F.col("_block").cast("string"), F.col("replicate").cast("string"))
+    borders = _poisson_borders()
+    weight = F.lit(len(borders))
+    for k in reversed(range(len(borders))):
+        weight = F.when(F.col("_uniform") < borders[k], k).otherwise(weight)
+    each = each.withColumn("_uniform", uniform).withColumn("_weight", weight)
+    redrawn = each.where("_weight > 0").groupBy(*groups, "replicate", "score").agg(
+        *[F.sum(F.col("_weight") * F.col(c)).alias(c) for c in _COUNTS]
+    )
     tail = (1 - level) / 2
     spread = (
         auroc(redrawn, [*groups, "replicate"], min_rows=0)
         .groupBy(*groups)
         .agg(
-            F.count(F.lit(1)).alias("replicates"),
+            F.count("auroc").alias("replicates"),
             F.percentile("auroc", F.array(F.lit(tail), F.lit(1 - tail))).alias("_bounds"),
         )
     )
@@ -273,15 +301,3 @@ def bootstrap_auroc(
         F.col("_bounds")[1].alias("auroc_high"),
         "replicates",
     )
-
-
-def _poisson():
-    def draw(key: pd.Series, stream: pd.Series, mean: pd.Series) -> pd.Series:
-        low = (1 << 64) - 1
-        drawn = [
-            np.random.Generator(np.random.Philox(key=[int(k) & low, int(s)])).poisson(m)
-            for k, s, m in zip(key, stream, mean)
-        ]
-        return pd.Series(drawn, dtype="int64")
-
-    return F.pandas_udf(draw, "long")

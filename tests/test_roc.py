@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -147,12 +148,21 @@ def test_risk_coverage(spark):
 
 
 def test_bootstrap_is_repeatable_and_covers(spark):
-    rows = random_rows(7, n=600)
-    counts = histogram(spark, rows)
-    first = roc.bootstrap_auroc(counts, ["g"], replicates=200).orderBy("g").collect()
-    again = roc.bootstrap_auroc(counts.repartition(5), ["g"], replicates=200).orderBy("g").collect()
-    assert first == again
+    rows = [(g, p, s, str(i)) for i, (g, p, s) in enumerate(random_rows(7, n=3000))]
+    df = spark.createDataFrame(rows, "g string, positive boolean, s double, item_id string")
+    drawn = lambda d: roc.bootstrap_auroc(
+        d, ["g"], F.col("positive"), F.col("s"), replicates=200
+    )
+    first = drawn(df).orderBy("g").collect()
+    assert first == drawn(df.repartition(5)).orderBy("g").collect()
+    sides = pairwise([r[:3] for r in rows])
     for r in first:
+        area, neg, pos = sides[r.g]
+        # The standard error of an area from its class sizes, in Hanley and McNeil's form.
+        q1, q2 = area / (2 - area), 2 * area**2 / (1 + area)
+        spread = (pos - 1) * (q1 - area**2) + (neg - 1) * (q2 - area**2) + area * (1 - area)
+        error = math.sqrt(spread / (pos * neg))
+        assert r.auroc == pytest.approx(area)
         assert r.auroc_low < r.auroc < r.auroc_high
-        assert 0.02 < r.auroc_high - r.auroc_low < 0.25
+        assert r.auroc_high - r.auroc_low == pytest.approx(2 * 1.96 * error, rel=0.35)
         assert r.replicates == 200
