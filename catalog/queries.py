@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog import views as V
 from respeval import constants as C
 from respeval.functions import flags, tails
+from respeval.functions.extraction import extract_response
 from respeval.operators import (
     calibration,
     compare,
@@ -96,7 +97,8 @@ def group_metrics(spark, sf_dir):
 
 @query
 def overall_parse_rate(spark, sf_dir):
-    return rounded(metrics.parse_success(V.eval_scored(spark, sf_dir)))
+    parsed = extract_response(V.eval_responses(spark, sf_dir), only=["parse_error"])
+    return rounded(metrics.parse_success(parsed))
 
 
 @query

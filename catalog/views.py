@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from respeval import constants as C
 from respeval.functions.extraction import extract_response
 from respeval.functions.flags import add_flags
-from respeval.functions.once import computed_once
 from respeval.operators.normalize import (
     choice_items,
     counterfactual_items,
@@ -109,7 +108,7 @@ def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
     docs = docs.select("*", F.inline(F.array(*cells)))
     shaped = docs.withColumn("shape", (turn + 3 * F.col("mi") + F.col("ai")) % 9)
-    shaped = computed_once(shaped, {"raw_response": _response_text()})
+    shaped = shaped.withColumn("raw_response", _response_text())
     return shaped.select(
         F.col("doc_id").cast("string").alias("item_id"),
         "model",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,12 @@ def confidence_in_prose(text: Column, whole_number: bool = False) -> Column:
 
 
 def extract_response(
-    df: DataFrame, raw_col: str = "raw_response", whole_number: bool = False
+    df: DataFrame,
+    raw_col: str = "raw_response",
+    whole_number: bool = False,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add the answer fields and ``parse_error`` read from ``raw_col``.
+    """Add the answer fields and ``parse_error`` read from ``raw_col``, or ``only`` some of them.
 
     A JSON null and a missing field give the same default.
 
@@ -101,4 +106,5 @@ def extract_response(
         "evidence_quality": text_field("evidence_quality"),
         "parse_error": ~parsed,
     }
-    return computed_once(staged, fields, keep=df.columns)
+    wanted = {name: value for name, value in fields.items() if only is None or name in only}
+    return computed_once(staged, wanted, keep=df.columns)

@@ -33,3 +33,11 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_keys_are_read_without_texts(spark):
+    from catalog.queries import QUERIES
+
+    plan = QUERIES["grid_keys"](spark, "/root/testdata/sf0.001")
+    scans = [x for x in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in x]
+    assert scans and not any("text:" in x for x in scans)
