@@ -135,7 +135,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, key:
         pairs.select("a", F.col("a").alias("b")).distinct()
     )
     texts = docs.select(F.col(key).cast("long").alias("b"), text_or_empty().alias("text"))
-    fetched = texts.join(wanted, "b").select("a", "b", "text")
+    # Texts are always met by a shuffle join, so that the plan is the same at every size.
+    fetched = texts.join(wanted.hint("merge"), "b").select("a", "b", "text")
     sets = stored(_sets(fetched, words), "shingle-sets")
     centres = sets.where("a = b").select("a", F.col("shingles").alias("of_a"))
     both = sets.where("a <> b").join(centres, "a")
@@ -228,7 +229,7 @@ def _unsettled(hits: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, words: int, key: str) -> DataFrame:
     texts = docs.select(F.col(key).cast("long").alias("node"), text_or_empty().alias("text"))
-    texts = texts.join(nodes, "node").select("node", F.col("node").alias("b"), "text")
+    texts = texts.join(nodes.hint("merge"), "node").select("node", F.col("node").alias("b"), "text")
     return _sets(texts, words).select(F.col("a").alias("node"), "shingles")
 
 
