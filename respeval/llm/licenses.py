@@ -109,17 +109,27 @@ def _features(words: Column) -> Column:
     return F.concat(words, F.when(F.size(words) > 1, _runs(words, 2)).otherwise(F.array().cast("array<string>")))
 
 
+def _lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    lines = F.explode(F.split(text_or_empty(text), "\n"))
+    return docs.select(F.col(key).alias("key"), lines.alias("line")).where(F.trim("line") != "")
+
+
+def _with_words(lines: DataFrame) -> DataFrame:
+    return computed_once(lines, {"words": _words(F.col("line"))}).where(F.size("words") > 0)
+
+
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``words`` of every line that has a word."""
-    lines = docs.select(F.col(key).alias("key"), F.explode(F.split(text_or_empty(text), "\n")).alias("line"))
-    worded = computed_once(lines, {"words": _words(F.col("line"))})
-    return worded.where(F.size("words") > 0)
+    """``key``, ``line`` and ``words`` of every line that has a word."""
+    return _with_words(_lines(docs, key, text))
 
 
 def _notices(docs: DataFrame) -> DataFrame:
     rows = [(family, text) for family in sorted(NOTICES) for text in NOTICES[family]]
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "at int, family string, notice string")
+    literals = [
+        F.struct(F.lit(i).alias("at"), F.lit(family).alias("family"), F.lit(text).alias("notice"))
+        for i, (family, text) in enumerate(rows)
+    ]
+    table = docs.sparkSession.range(1).select(F.inline(F.array(*literals)))
     return table.withColumn("shingles", F.array_distinct(_runs(_words(F.col("notice")), 3)))
 
 
@@ -141,13 +151,13 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LogisticRegressionModel, float, list, list[str]] | None:
     """The model, its temperature, the notices and the classes in order of their index."""
-    lines = paragraphs(docs)
+    lines = _lines(docs)
     total = lines.count()
     table = _notices(docs)
     notices = table.collect()
     families = sorted(NOTICES) + [UNKNOWN]
     drawn = uniform(F.struct("key", "line"), 8)
-    few = lines.where(drawn < min(1.0, sample / max(total, 1))).select("line", "words")
+    few = _with_words(lines.where(drawn < min(1.0, sample / max(total, 1)))).drop("key")
     # Notices in the corpus must not be learned as ordinary text.
     few = _with_contained(few, notices).where(F.col("contained") < 0.5).select("line")
     few = stored(few, "paragraphs")
