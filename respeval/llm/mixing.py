@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from respeval.functions.once import computed_once
 from respeval.llm.tables import stored, text_or_empty, uniform
 
 BUCKETS = 4096
@@ -180,7 +181,8 @@ def mixed(
     scored = with_posteriors(docs, model)
     rate, _ = fit_rates(stored(scored.select("_tokens_", "_posteriors_"), "posteriors"), model, targets)
     columns = [c for c in docs.columns if c != "rate"]
-    return scored.where(rate > 0).select(*columns, rate.alias("rate"))
+    # The rate reads the posteriors very often; a filter on it must not copy what makes them.
+    return computed_once(scored, {"rate": rate}, columns).where("rate > 0")
 
 
 def document_rates(
