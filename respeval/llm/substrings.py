@@ -10,7 +10,8 @@ brings together only what can be equal:
    segments whose gram occurs once are dropped.
 2. Equal segments are counted with partial sums. All strings of a segment found twice repeat.
 3. Only grams with several different segments are left in doubt. The bytes of these segments,
-   each once however often it occurs, are fetched and dealt to tasks by gram.
+   each once however often it occurs, are fetched and dealt to tasks by gram. There each is
+   narrowed to the part whose strings may be in another one.
 4. Tasks build the transform of their segments column by column, over blocks of bounded
    size: each round inserts one symbol of every segment, from the last to the first, and
    rewrites the transform and its common prefixes in one sequential pass. Neighbours with a
@@ -46,6 +47,7 @@ MAX_SEGMENTS = 1 << 14
 #: Bytes of segments whose transform is built at once, unless one gram has more.
 BLOCK = 1 << 17
 _PLACE_BITS = 24
+_QUARTERS = 4
 _KEY = ["text_a", "text_b"]
 
 
@@ -69,8 +71,9 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Text, first and end byte, gram hash and hash of every segment of joined texts."""
-    none = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 2
+    """Text, first and end byte, place of the anchor in it, gram hash and hash of every
+    segment of joined texts."""
+    none = [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 2
     strings = len(data) - length + 1
     if strings <= 0:
         return none
@@ -91,7 +94,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
     body = mix((sums[end] - sums[begin]) * powers(len(data) + 1, "inverse")[begin])
     row = np.searchsorted(offsets, begin, side="right") - 1
-    return row, begin - offsets[row], end - offsets[row], hashes[anchor[first]], body
+    at = anchor[first] - begin
+    return row, begin - offsets[row], end - offsets[row], at, hashes[anchor[first]], body
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -107,7 +111,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
 
 def _found(docs: DataFrame, length: int) -> DataFrame:
     """One row per segment; a text that a task meets again is left out."""
-    names = [*_KEY, "gram", "body", "begin", "end"]
+    names = [*_KEY, "gram", "body", "begin", "end", "at"]
 
     def run(batches):
         seen = set()
@@ -115,7 +119,7 @@ def _found(docs: DataFrame, length: int) -> DataFrame:
             a, b = (batch.column(i).to_numpy() for i in (0, 1))
             for first, _, data, offsets in byte_ranges(batch.column(2)):
                 for at, part, bounds in _pieces(data, offsets, length):
-                    row, begin, end, gram, body = segments(part, bounds, length)
+                    row, begin, end, anchor, gram, body = segments(part, bounds, length)
                     row += first
                     fresh = np.zeros(len(a), dtype=bool)
                     for r in np.unique(row).tolist():
@@ -127,6 +131,7 @@ def _found(docs: DataFrame, length: int) -> DataFrame:
                     row = row[keep]
                     columns = [a[row], b[row], gram[keep].view(np.int64), body[keep].view(np.int64)]
                     columns += [(x[keep] + at).astype(np.int64) for x in (begin, end)]
+                    columns.append(anchor[keep].astype(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     source = docs.select(*_KEY, "text")
@@ -200,28 +205,39 @@ def _runs(starts: np.ndarray) -> tuple[list[int], list[int]]:
     return starts[first].tolist(), starts[last].tolist()
 
 
-def _in_doubt(doubtful: DataFrame, length: int) -> DataFrame:
+def _in_doubt(doubtful: DataFrame, length: int, gram_size: int = GRAM) -> DataFrame:
     """Repeating strings of segments that share a gram: ``gram``, ``body``, ``first``, ``last``."""
 
-    def blocks(batches) -> Iterator[list]:
-        held, size, gram = [], 0, None
+    def by_gram(batches) -> Iterator[list]:
+        held = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if row[0] != gram and size > BLOCK:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and row[0] != held[0][0]:
                     yield held
-                    held, size = [], 0
-                gram = row[0]
+                    held = []
                 held.append(row)
-                size += len(row[2])
+        if held:
+            yield held
+
+    def blocks(batches) -> Iterator[list]:
+        held, size = [], 0
+        for group in by_gram(batches):
+            for gram, body, cut, part in _narrowed(group, length, gram_size):
+                held.append((gram, body, cut, part))
+                size += len(part)
+            if size > BLOCK:
+                yield held
+                held, size = [], 0
         if held:
             yield held
 
     def run(batches):
         for block in blocks(batches):
             grams, bodies, firsts, lasts = [], [], [], []
-            for (gram, body, _), starts in zip(block, Transform([b[2] for b in block], length).repeats()):
+            found = Transform([part for *_, part in block], length).repeats()
+            for (gram, body, cut, _), starts in zip(block, found):
                 if len(starts):
-                    first, last = _runs(starts)
+                    first, last = _runs(starts + cut)
                     grams += [gram] * len(first)
                     bodies += [body] * len(first)
                     firsts += first
@@ -231,10 +247,39 @@ def _in_doubt(doubtful: DataFrame, length: int) -> DataFrame:
                 names=["gram", "body", "first", "last"],
             )
 
-    dealt = doubtful.select("gram", "body", "bytes").repartition("gram").sortWithinPartitions("gram")
+    dealt = doubtful.select("gram", "body", "at", "bytes")
+    dealt = dealt.repartition("gram").sortWithinPartitions("gram")
     return dealt.mapInArrow(run, "gram long, body long, first long, last long")
 
 
+def _narrowed(group: list, length: int, gram: int) -> Iterator[tuple]:
+    """The part of each segment of one gram whose strings may be in another segment.
+
+    The strings of a segment are told apart by how far they begin before the anchor. All that
+    begin within a quarter of that range have a core in common; where no other segment has
+    the same core, none of them repeats.
+    """
+    step = -(-(length - gram + 1) // _QUARTERS)
+    cores: dict[tuple, int] = {}
+    keys = []
+    for _, _, at, data in group:
+        own = []
+        farthest, nearest = at, at - (len(data) - length)
+        for low in range(0, length - gram + 1, step):
+            high = min(low + step - 1, length - gram)
+            if low <= farthest and high >= nearest:
+                core = (low, data[max(at - low, 0) : at - high + length])
+                own.append((low, high, core))
+                cores[core] = cores.get(core, 0) + 1
+        keys.append(own)
+    for (name, body, at, data), own in zip(group, keys):
+        shared = [(low, high) for low, high, core in own if cores[core] > 1]
+        if shared:
+            begin = max(at - max(high for _, high in shared), 0)
+            end = min(at - min(low for low, _ in shared) + length, len(data))
+            yield name, body, begin, data[begin:end]
+
+
 def _one_by_one(crowded: DataFrame, length: int) -> DataFrame:
     """The same for grams with very many segments, by counting each string."""
 
@@ -264,20 +309,22 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 t.encode()[s:e] for t, s, e in zip(texts.to_pylist(), begin.to_pylist(), end.to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(5), pa.array(cut, pa.binary())],
-                names=["gram", "body", "crowded", "bytes"],
+                [*(batch.column(i) for i in (0, 1, 5, 6)), pa.array(cut, pa.binary())],
+                names=["gram", "body", "crowded", "at", "bytes"],
             )
 
     joined = docs.select(*_KEY, "text").join(wanted, _KEY)
-    joined = joined.select("gram", "body", "begin", "end", "text", "crowded")
-    return joined.mapInArrow(run, "gram long, body long, crowded boolean, bytes binary")
+    joined = joined.select("gram", "body", "begin", "end", "text", "crowded", "at")
+    return joined.mapInArrow(run, "gram long, body long, crowded boolean, at long, bytes binary")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """``text_a``, ``text_b`` (a text's key) and ``ranges``: byte ranges that repeat."""
     grams = _found(docs, length).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = stored(_found(docs, length).join(grams.select("gram"), "gram", "left_semi"), "segments")
-    where = F.struct(*_KEY, "begin", "end")
+    # Stored, so that both sides of the join come from a shuffle and a hot gram can be split.
+    grams = stored(grams.select("gram"), "grams")
+    places = stored(_found(docs, length).join(grams, "gram", "left_semi"), "segments")
+    where = F.struct(*_KEY, "begin", "end", "at")
     bodies = stored(
         places.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("where")),
         "bodies",
