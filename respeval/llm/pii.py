@@ -9,10 +9,12 @@ reach ``GENERALISE`` are replaced by the kind they hint at. Term spans are added
 spans; the base spans stay.
 
 Only DataFrame functions are used. Positions are code points, end exclusive. Counts cover
-every line of every text. Joint counts come from lines with an entity; only terms in at
-least ``MIN_LINES`` lines and in ``MIN_SHARE`` of the entity's lines go on, so their number is
-at most (words per line / MIN_SHARE) per kind however large the corpus is, and only these
-are counted over all lines and sent to tasks. Nothing is joined by document.
+every line of every text and are summed per task before they are shuffled. Joint counts come
+from lines with an entity; terms in at least ``MIN_LINES`` of these go on, a fixed support
+however large the corpus is. The disclosing terms stay a table, whose size has no bound: the
+distinct terms of each text are joined with it, over ``SALTS`` keys per term, and what is found
+is joined back to the texts by 128 bits of hash of the text, so that repeated rows and rows
+without an id need no key.
 
 Null texts count as empty; they and empty texts have no span. Repeated rows are lines of
 their own. The two noncharacters U+FDD0 and U+FDD1 mark places inside the job; a text
@@ -31,7 +33,7 @@ from respeval.llm.tables import stored, text_or_empty
 REMOVE = 0.9
 GENERALISE = 0.6
 MIN_LINES = 20
-MIN_SHARE = 0.01
+SALTS = 16
 _OPEN, _CLOSE, _OTHER = "﷐", "﷑", "﷒"
 _STEP = 256
 
@@ -149,7 +151,6 @@ def disclosing_terms(
     docs: DataFrame,
     text: str = "text",
     min_lines: int = MIN_LINES,
-    min_share: float = MIN_SHARE,
     generalise: float = GENERALISE,
 ) -> DataFrame:
     """``term``, ``kind`` and ``ratio`` of the terms whose PMI / IC reaches ``generalise``."""
@@ -170,14 +171,13 @@ def disclosing_terms(
         .agg(F.count(F.lit(1)).alias("joint_lines"))
         .where(F.col("joint_lines") >= min_lines)
         .join(of_kind, "kind")
-        .where(F.col("joint_lines") >= F.lit(min_share) * F.col("kind_lines"))
     )
     joint = stored(joint, "joint-terms")
     if joint.isEmpty():
         return joint.select("term", "kind", F.lit(0.0).alias("ratio")).where("false")
-    asked = joint.select("term").distinct()
     everywhere = lines.select(F.explode(_terms(F.col("line"))).alias("term"))
-    term_lines = everywhere.join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("term_lines"))
+    term_lines = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("term_lines"))
+    term_lines = term_lines.where(F.col("term_lines") >= min_lines)
     total = lines.count()
     p_kind = F.col("kind_lines") / total
     pmi = F.log2(F.col("joint_lines") / F.col("term_lines") / p_kind)
@@ -187,21 +187,53 @@ def disclosing_terms(
     return scored.where(F.col("ratio") >= generalise)
 
 
-def term_actions(terms: DataFrame, remove: float = REMOVE) -> dict[str, str]:
-    """What to do with each disclosing term: its strongest kind, or ``remove``."""
+def action_table(terms: DataFrame, remove: float = REMOVE) -> DataFrame:
+    """``term`` and ``action``, what to do with it: its strongest kind, or ``remove``."""
     best = terms.groupBy("term").agg(F.max(F.struct("ratio", "kind")).alias("best"))
-    rows = best.select("term", "best.ratio", "best.kind").collect()
-    return {r["term"]: "remove" if r["ratio"] >= remove else r["kind"] for r in rows}
+    action = F.when(F.col("best.ratio") >= remove, F.lit("remove")).otherwise(F.col("best.kind"))
+    return best.select("term", action.alias("action"))
+
+
+def term_actions(terms: DataFrame, remove: float = REMOVE) -> dict[str, str]:
+    """``action_table`` as a mapping, for lists that are known to be short."""
+    return {r["term"]: r["action"] for r in action_table(terms, remove).collect()}
+
+
+def _as_table(docs: DataFrame, actions: Mapping[str, str] | DataFrame) -> DataFrame:
+    if isinstance(actions, DataFrame):
+        return actions
+    return docs.sparkSession.createDataFrame(list(actions.items()), "term string, action string")
 
 
-def with_all_spans(docs: DataFrame, actions: Mapping[str, str], text: str = "text") -> DataFrame:
-    """``with_base_spans`` plus ``_term_``: spans of disclosing terms outside base spans."""
-    based = with_base_spans(docs, text)
+def _mark(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
+
+
+def _known_terms(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
+    """``_mark_`` of each text that holds terms of ``table``, and these as ``_own_terms_``."""
+    texts = docs.select(_plain(text_or_empty(text)).alias("text"))
+    present = texts.select(_mark(F.col("text")).alias("_mark_"), F.explode(_terms(F.col("text"))).alias("term"))
+    present = present.withColumn("salt", F.pmod(F.col("_mark_.a"), F.lit(SALTS)).cast("int"))
+    spread = table.select("term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = present.join(spread, ["term", "salt"]).groupBy("_mark_")
+    # Stored, so that both sides of the next join come from a shuffle and can be split there.
+    return stored(own.agg(F.collect_set("term").alias("_own_terms_")), "texts-with-terms")
+
+
+def with_all_spans(
+    docs: DataFrame, actions: Mapping[str, str] | DataFrame, text: str = "text"
+) -> DataFrame:
+    """``with_base_spans`` plus ``_term_``: spans of disclosing terms outside base spans.
+
+    ``actions`` is a table as ``action_table`` gives it, of any size, or a mapping.
+    """
+    known = _known_terms(docs, _as_table(docs, actions), text)
+    marked = docs.withColumn("_mark_", _mark(_plain(text_or_empty(text))))
+    own = F.coalesce("_own_terms_", F.array().cast("array<string>"))
+    joined = marked.join(known, "_mark_", "left").select(*docs.columns, own.alias("_own_terms_"))
+    based = with_base_spans(joined, text)
     empty = F.array().cast(_SPANS)
-    if not actions:
-        return based.withColumn("_term_", empty)
-    known = F.split(F.lit(" ".join(sorted(actions))), " ")
-    based = based.withColumn("_own_terms_", F.array_intersect(_terms(F.col("_text_")), known))
     found = _spans(
         _parts(F.col("_text_"), _TERM), lambda m: F.array_contains(F.col("_own_terms_"), F.lower(m))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respeval.llm import decontam, langid, licenses, linededup, minhash, mixing, pii, quality, substrings, toxicity
-from respeval.llm.tables import held_out, read
+from respeval.llm.tables import held_out, read, stored
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    actions = pii.term_actions(pii.disclosing_terms(docs))
-    spans = pii.with_all_spans(docs, actions)
+    terms = stored(pii.action_table(pii.disclosing_terms(docs)), "disclosing-terms")
+    spans = pii.with_all_spans(docs, terms)
     return spans.select(
         "doc_id",
         *[F.size(f"_{kind}_").cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
