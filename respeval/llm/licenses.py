@@ -1,7 +1,11 @@
 """Licence families of paragraphs, by a trained classifier and template comparison.
 
-A paragraph is a line of a text. Its features are the distinct words and pairs of
-neighbouring words, hashed. A multinomial logistic regression with an L1 term tells licence
+A paragraph is a line of a text, or a passage of a block: a run of non-blank lines, joined by
+blanks, so that wrapped notices are read as one. In a block, a passage begins wherever a
+three-word shingle of a notice stands and is a little longer than the notice; the one that
+holds most of the notice is judged. A block counts only for families that none of its lines
+is confirmed for. The features of a paragraph are the distinct words and
+pairs of neighbouring words, hashed. A multinomial logistic regression with an L1 term tells licence
 families and an unknown class apart. It is trained here: notices of each family, alone and
 inside ordinary paragraphs of the corpus, against ordinary paragraphs. A temperature fitted
 on paragraphs kept from training calibrates the probabilities, the unknown class included.
@@ -19,6 +23,8 @@ corpus too small to sample from gives no row, as there is nothing to learn from.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -32,7 +38,10 @@ FEATURES = 1 << 14
 SAMPLE = 4000
 MIN_PROBABILITY = 0.5
 MIN_CONTAINED = 0.6
+#: Shingles of a passage for each shingle of the notice, so that inserted words fit in.
+ROOM = 1.25
 UNKNOWN = "unknown"
+_BLANK_LINES = r"\n(?:[ \t\r\f\x0b]*+\n)++"
 _TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
 
 #: Short public notices of each family.
@@ -123,6 +132,52 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return _with_words(_lines(docs, key, text))
 
 
+def _blocks(docs: DataFrame, key: str) -> DataFrame:
+    blocks = F.explode(F.split(text_or_empty(), _BLANK_LINES))
+    blocks = docs.select(F.col(key).alias("key"), blocks.alias("whole")).where(F.trim("whole") != "")
+    return blocks.withColumn("block", F.struct(F.xxhash64("whole").alias("a"), F.xxhash64(F.lit(7), "whole").alias("b")))
+
+
+def _block_lines(blocks: DataFrame) -> DataFrame:
+    """The lines of blocks, as paragraphs that are no part of a notice (``at`` is -1)."""
+    lines = blocks.select("key", "block", F.lit(-1).alias("at"), F.explode(F.split("whole", "\n")).alias("line"))
+    return _with_words(lines.where(F.trim("line") != ""))
+
+
+def _passages(blocks: DataFrame, notices: list, min_contained: float) -> DataFrame:
+    """Per block of several lines and notice that it may hold, the passage that holds most of it."""
+    own = {row["at"]: sorted({w for s in row["shingles"] for w in s.split(" ")}) for row in notices}
+    # So many shingles of a notice have so many distinct words at least.
+    need = {
+        row["at"]: max(1, math.ceil(min_contained * len(row["shingles"]) - 1e-9) - len(row["shingles"]) + len(own[row["at"]]))
+        for row in notices
+    }
+    listed = lambda words: F.split(F.lit("\n".join(words)), "\n")
+    several = blocks.where(F.trim("whole").contains("\n"))
+    several = computed_once(several, {"words": _words(F.regexp_replace("whole", "\n", " "))}, ["key", "block"])
+    vocabulary = listed(sorted(set().union(*own.values())))
+    several = computed_once(several, {"_known_": F.array_intersect("words", vocabulary)})
+    several = several.where(F.size("_known_") >= min(need.values()))
+    maybe = [
+        F.when(F.size(F.array_intersect("_known_", listed(own[row["at"]]))) >= need[row["at"]], F.lit(row["at"]))
+        for row in notices
+    ]
+    several = several.withColumn("at", F.explode(F.array_compact(F.array(*maybe)))).drop("_known_")
+    table = F.array(*[listed(row["shingles"]) for row in sorted(notices, key=lambda r: r["at"])])
+    several = computed_once(several, {"runs": _runs(F.col("words"), 3), "shingles": F.get(table, F.col("at"))})
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size("runs")), lambda i: F.array_contains("shingles", F.get("runs", i - 1))
+    )
+    room = F.ceil(F.size("shingles") * ROOM).cast("int")
+    held = lambda i: F.size(F.array_intersect(F.slice("runs", i, room), "shingles"))
+    best = F.array_max(F.transform(starts, lambda i: F.struct(held(i).alias("n"), (-i).alias("at"))))
+    found = computed_once(several, {"best": best, "n": F.size("shingles"), "room": room}, ["key", "block", "at", "words"])
+    found = found.where(F.col("best.n") >= F.lit(min_contained) * F.col("n"))
+    passage = F.slice("words", -F.col("best.at"), F.col("room") + 2)
+    found = computed_once(found, {"words": passage}, ["key", "block", "at"])
+    return found.select("key", "block", "at", F.array_join("words", " ").alias("line"), "words")
+
+
 def _notices(docs: DataFrame) -> DataFrame:
     rows = [(family, text) for family in sorted(NOTICES) for text in NOTICES[family]]
     literals = [
@@ -200,33 +255,41 @@ def licensed(
     min_contained: float = MIN_CONTAINED,
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """Confirmed licence paragraphs: ``key``, ``line``, ``family``, ``probability``, ``contained``."""
+    """Confirmed licence paragraphs: ``key``, ``line``, ``family``, ``probability``, ``contained``.
+
+    ``block`` stands for the block they are in; ``at`` is the notice that led to a passage of
+    several lines, and -1 for lines.
+    """
     trained = train(docs.withColumnRenamed(key, "doc_id") if key != "doc_id" else docs, sample)
-    lines = paragraphs(docs, key)
+    blocks = _blocks(docs, key)
+    lines = _block_lines(blocks)
     if trained is None:
-        none = lines.select(F.col("key").alias(key), "line", F.lit("").alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("contained"))
+        none = lines.select(F.col("key").alias(key), "block", "at", "line", F.lit("").alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("contained"))
         return none.where("false")
     model, temperature, notices, families = trained
-    scored = model.transform(_hashed(lines)).select("key", "line", "words", "rawPrediction")
-    scored = computed_once(scored, {"raw": vector_to_array("rawPrediction")}, ["key", "line", "words"])
+    carried = ["key", "block", "at", "line", "words"]
+    lines = lines.select(*carried).unionAll(_passages(blocks, notices, min_contained).select(*carried))
+    scored = model.transform(_hashed(lines)).select(*carried, "rawPrediction")
+    scored = computed_once(scored, {"raw": vector_to_array("rawPrediction")}, carried)
     odds = F.transform("raw", lambda x: F.exp((x - F.array_max("raw")) / temperature))
     figures = {
-        "at": F.array_position("raw", F.array_max("raw")).cast("int"),
+        "class": F.array_position("raw", F.array_max("raw")).cast("int"),
         "probability": 1.0 / F.aggregate(odds, F.lit(0.0), lambda total, x: total + x),
     }
-    predicted = computed_once(scored, figures, ["key", "line", "words"])
-    predicted = predicted.where((F.col("at") < len(families)) & (F.col("probability") >= min_probability))
-    named = F.array(*[F.lit(f) for f in families])[F.col("at") - 1]
+    predicted = computed_once(scored, figures, carried)
+    predicted = predicted.where((F.col("class") < len(families)) & (F.col("probability") >= min_probability))
+    named = F.array(*[F.lit(f) for f in families])[F.col("class") - 1]
     checked = _with_contained(predicted.withColumn("family", named), notices, "family")
     return checked.where(F.col("contained") >= min_contained).select(
-        F.col("key").alias(key), "line", "family", "probability", "contained"
+        F.col("key").alias(key), "block", "at", "line", "family", "probability", "contained"
     )
 
 
 def document_licenses(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """``key``, ``family``, its paragraphs in the document, and the best figures of these."""
-    return licensed(docs, key, sample=sample).groupBy(key, "family").agg(
-        F.count(F.lit(1)).alias("n_paragraphs"),
-        F.max("probability").alias("probability"),
-        F.max("contained").alias("contained"),
-    )
+    best = [F.max("probability").alias("probability"), F.max("contained").alias("contained")]
+    # A passage that several notices of a family led to is one paragraph.
+    each = licensed(docs, key, sample=sample).groupBy(key, "family", "block", "at").agg(F.count(F.lit(1)).alias("n"), *best)
+    of_lines = F.max(F.when(F.col("at") < 0, F.col("n")))
+    of_block = each.groupBy(key, "family", "block").agg(F.coalesce(of_lines, F.max("n")).alias("n"), *best)
+    return of_block.groupBy(key, "family").agg(F.sum("n").alias("n_paragraphs"), *best)

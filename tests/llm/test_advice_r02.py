@@ -1,6 +1,8 @@
 """What the second review found left out."""
 
-from respeval.llm import pii
+import textwrap
+
+from respeval.llm import licenses, pii
 
 
 def test_rare_term_among_many_lines_of_a_kind(spark):
@@ -26,3 +28,23 @@ def test_terms_as_a_table(spark):
         expected = {"waakk and wbbll": "term:0:5,term:10:15", "wjjtt": "term:0:5"}
         assert sorted(str(r["text"]) for r in rows) == sorted(map(str, texts))
         assert all(r["s"] == expected.get(r["text"], "") and r["term"] == r["text"] for r in rows)
+
+
+def test_wrapped_notices(spark):
+    """Wrapped at several widths, reworded, in comments and inside longer blocks."""
+    plain = [f"ordinary story {i} about the {'abcdefgh'[i % 8] * 4} river and its old mill, told again in winter" for i in range(600)]
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including the rights to use, copy and modify it."
+    made = [(bsd, "BSD"), (gpl, "GPL"), (mit, "MIT")]
+    texts, expected = list(plain), set()
+    for width in (40, 75):
+        for text, family in made:
+            lines = textwrap.wrap(text, width)
+            inside = [*plain[:6], *lines, *plain[6:12]]
+            for block in (lines, ["# " + x for x in lines], inside):
+                expected.add((len(texts), family, 1))
+                texts.append("Before.\n\n" + "\n".join(block) + "\n \nAfter.")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {tuple(r)[:3] for r in licenses.document_licenses(docs).collect()}
+    assert found == expected
