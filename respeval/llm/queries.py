@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respeval.llm import alignment, collocations, decontam, langid, licenses, linededup, minhash, mixing, pii, quality, substrings, toxicity
+from respeval.llm import alignment, collocations, decontam, langid, licenses, linededup, minhash, mixing, pii, prefixtree, quality, substrings, toxicity
 from respeval.llm.tables import held_out, read, stored
 
 
@@ -83,6 +83,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtree.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(read(spark, sf_dir, "documents"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_tree_join": op11_prefix_tree_join,
     "op12_token_alignment": op12_token_alignment,
     "op13_collocations": op13_collocations,
 }
