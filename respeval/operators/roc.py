@@ -10,11 +10,16 @@ same ranges and a lost executor costs nothing.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from respeval import constants as C
 from respeval.functions import aggregates as agg
@@ -121,11 +126,15 @@ def auroc(
     groups: Sequence[str],
     min_rows: int = C.MIN_CLASS_ROWS,
     ranges: int | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """Area under the ROC, ties counting half; small groups are left out."""
+    """Area under the ROC, ties counting half; small groups are left out.
+
+    ``totals`` are the histogram's ``running_totals``, where they are at hand.
+    """
     above = F.col("cum_pos") - F.col("pos") / F.lit(2.0)
     wins = F.sum(F.col("neg") * above)
-    totals = running_totals(histogram, groups, ranges)
+    totals = running_totals(histogram, groups, ranges) if totals is None else totals
     return (
         totals.groupBy(*groups)
         .agg(
@@ -150,6 +159,7 @@ def roc_points(
     groups: Sequence[str],
     min_rows: int = C.MIN_CLASS_ROWS,
     ranges: int | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Corner points of the ROC, starting at the origin (whose threshold is NULL).
 
@@ -168,8 +178,9 @@ def roc_points(
     origin = F.struct(
         F.lit(None).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
+    totals = running_totals(histogram, groups, ranges) if totals is None else totals
     return (
-        running_totals(histogram, groups, ranges)
+        totals
         .where(_large_enough(min_rows) & (first | last | turns))
         .select(*groups, F.inline(F.when(first, F.array(origin, point)).otherwise(F.array(point))))
     )
@@ -205,6 +216,34 @@ def risk_coverage(
     )
 
 
+def selective_area(
+    histogram: DataFrame,
+    groups: Sequence[str],
+    ranges: int | None = None,
+    totals: DataFrame | None = None,
+) -> DataFrame:
+    """Area under selective accuracy over coverage, by trapezoids, and under its complement.
+
+    Points are those of ``risk_coverage``. Down to the first one, where nothing is answered
+    yet, the first accuracy holds. A trapezoid's lower end is the next score's point, which
+    may lie in another range: ``next_*`` carries it over the border.
+    """
+    totals = running_totals(histogram, groups, ranges) if totals is None else totals
+    all_rows = (F.col("total_pos") + F.col("total_neg")).cast("double")
+    here, step = F.col("cum_pos") + F.col("cum_neg"), F.col("next_pos") + F.col("next_neg")
+    accuracy = F.col("cum_pos") / here.cast("double")
+    then = (F.col("cum_pos") + F.col("next_pos")) / (here + step).cast("double")
+    first = here == F.col("pos") + F.col("neg")
+    strip = F.when(first, here * accuracy).otherwise(F.lit(0.0))
+    trapezoid = F.coalesce(step * (accuracy + then) / 2, F.lit(0.0))
+    area = F.try_divide(F.sum(strip + trapezoid), F.max(all_rows))
+    return totals.groupBy(*groups).agg(
+        F.max(all_rows).cast("long").alias("n"),
+        area.alias("accuracy_area"),
+        (1 - area).alias("risk_area"),
+    )
+
+
 def counterfactual_histogram(
     scored: DataFrame,
     groups: Sequence[str] = ("model", "arm"),
@@ -246,6 +285,103 @@ def _poisson_borders() -> list[int]:
     return borders
 
 
+def _drawn_column(seed: int, *parts: Column) -> Column:
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+@lru_cache(maxsize=2)
+def _weights(seed: int, blocks: int, replicates: int) -> np.ndarray:
+    """How often each replicate draws each block: a row per block."""
+    texts = (f"{seed}|{b}|{r}" for b in range(blocks) for r in range(1, replicates + 1))
+    draws = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts])
+    return np.searchsorted(_poisson_borders(), draws, side="right").reshape(blocks, replicates).astype(float)
+
+
+#: Rows whose vectors a task works on together.
+_STEP = 256
+
+
+def _range_vectors(
+    dealt: DataFrame, groups: Sequence[str], seed: int, blocks: int, replicates: int
+) -> DataFrame:
+    """Per group, range and replicate: weights of both classes, and pairs won inside the range.
+
+    Sorting within partitions lets a task see each group's scores in descending order as a
+    stream; it holds one vector of running totals and a few rows' vectors at a time.
+    """
+    kept = StructType([f for f in dealt.schema.fields if f.name in groups])
+    schema = StructType([*kept.fields, *StructType.fromDDL("_range int, replicate int, pos double, neg double, wins double").fields])
+    ordered = dealt.sortWithinPartitions(*groups, F.desc("score")).select(
+        *groups, "_range", "score", "_block", *_COUNTS
+    )
+    names = [f.name for f in kept.fields]
+
+    def run(batches):
+        weights = _weights(seed, blocks, replicates)
+        current, part, kinds = None, None, []
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in [*names, "_range"]]
+            keys = list(zip(*[batch.column(c).to_pylist() for c in [*names, "_range"]]))
+            score, block, pos, neg = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("score", "_block", *_COUNTS)
+            )
+            borders = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+            for a, b in zip(borders[:-1], borders[1:]):
+                if keys[a] != current:
+                    if part is not None:
+                        yield _range_rows(current, part, kinds, schema.names)
+                    current, part = keys[a], _RangeTotals(replicates)
+                for at in range(a, b, _STEP):
+                    to = min(at + _STEP, b)
+                    part.add(score[at:to], weights[block[at:to]], pos[at:to], neg[at:to])
+        if part is not None:
+            yield _range_rows(current, part, kinds, schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+class _RangeTotals:
+    """Running totals per replicate over scores that come in descending order."""
+
+    def __init__(self, replicates: int):
+        self.pos, self.neg, self.wins = (np.zeros(replicates) for _ in range(3))
+        # Rows of the score that came last, which more rows may follow.
+        self.score, self.tied_pos, self.tied_neg = None, np.zeros(replicates), np.zeros(replicates)
+
+    def add(self, score: np.ndarray, weights: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        firsts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        p = np.add.reduceat(weights * pos[:, None], firsts, axis=0)
+        n = np.add.reduceat(weights * neg[:, None], firsts, axis=0)
+        if self.score is not None and score[0] == self.score:
+            p[0] += self.tied_pos
+            n[0] += self.tied_neg
+        else:
+            self.close()
+        self.score, self.tied_pos, self.tied_neg = score[-1], p[-1].copy(), n[-1].copy()
+        done = np.cumsum(p[:-1], axis=0)
+        self.wins += (n[:-1] * (self.pos + done - p[:-1] / 2)).sum(axis=0)
+        if len(done):
+            self.pos = self.pos + done[-1]
+            self.neg = self.neg + n[:-1].sum(axis=0)
+
+    def close(self) -> None:
+        self.wins += self.tied_neg * (self.pos + self.tied_pos / 2)
+        self.pos = self.pos + self.tied_pos
+        self.neg = self.neg + self.tied_neg
+        self.tied_pos, self.tied_neg = np.zeros_like(self.pos), np.zeros_like(self.pos)
+
+
+def _range_rows(
+    key: tuple, part: _RangeTotals, kinds: Sequence[pa.DataType], names: Sequence[str]
+) -> pa.RecordBatch:
+    part.close()
+    n = len(part.pos)
+    columns = [pa.array([value] * n, kind) for value, kind in zip(key, kinds)]
+    numbers = [pa.array(np.arange(1, n + 1, dtype=np.int32)), *map(pa.array, (part.pos, part.neg, part.wins))]
+    return pa.RecordBatch.from_arrays(columns + numbers, names=list(names))
+
+
 def bootstrap_auroc(
     df: DataFrame,
     groups: Sequence[str],
@@ -257,37 +393,38 @@ def bootstrap_auroc(
     seed: int = C.SAMPLE_SEED,
     level: float = 0.95,
     min_rows: int = C.MIN_CLASS_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Percentile interval of the AUROC from a block bootstrap.
 
     A hash of its id puts each item into one of ``blocks`` blocks, so the rows of an item
     are drawn together. A replicate gives every block a Poisson(1) weight, taken from a hash
-    of seed, block and replicate, and sums the blocks' histograms by weight: the rows are
-    read once, whatever the number of replicates, and draws repeat on every run and
-    engine. Replicates without a row of either class have no area and are not counted.
+    of seed, block and replicate, so draws repeat on every run and engine. The blocks'
+    histogram is sorted by score into ranges once. In a range a task carries one vector of
+    running totals with an entry per replicate; a range hands on three vectors, which are
+    put together across ranges. So rows are never repeated per replicate: the work is one
+    vector operation a row, and what is shuffled after it is replicates times ranges.
+    Replicates without a row of either class have no area and are not counted.
     """
     groups = list(groups)
-
-    def drawn(*parts: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-
-    block = drawn(F.col(id_col).cast("string")) % blocks
+    block = _drawn_column(seed, F.col(id_col).cast("string")) % blocks
     by_block = score_histogram(df.withColumn("_block", block), [*groups, "_block"], positive, score)
     histogram = by_block.groupBy(*groups, "score").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    each = by_block.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    uniform = drawn(F.col("_block").cast("string"), F.col("replicate").cast("string"))
-    borders = _poisson_borders()
-    weight = F.lit(len(borders))
-    for k in reversed(range(len(borders))):
-        weight = F.when(F.col("_uniform") < borders[k], k).otherwise(weight)
-    each = each.withColumn("_uniform", uniform).withColumn("_weight", weight)
-    redrawn = each.where("_weight > 0").groupBy(*groups, "replicate", "score").agg(
-        *[F.sum(F.col("_weight") * F.col(c)).alias(c) for c in _COUNTS]
+    order = [*([] if ranges is None else [ranges]), *groups, "score"]
+    dealt = by_block.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    parts = _range_vectors(dealt, groups, seed, blocks, replicates)
+    above = Window.partitionBy(*groups, "replicate").orderBy(F.desc("_range"))
+    above = above.rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    placed = parts.withColumn("_above", F.coalesce(F.sum("pos").over(above), F.lit(0.0)))
+    drawn = placed.groupBy(*groups, "replicate").agg(
+        F.sum(F.col("wins") + F.col("neg") * F.col("_above")).alias("_wins"),
+        F.sum("pos").alias("_pos"),
+        F.sum("neg").alias("_neg"),
     )
+    area = F.try_divide(F.col("_wins"), F.col("_pos") * F.col("_neg"))
     tail = (1 - level) / 2
     spread = (
-        auroc(redrawn, [*groups, "replicate"], min_rows=0)
+        drawn.withColumn("auroc", area)
         .groupBy(*groups)
         .agg(
             F.count("auroc").alias("replicates"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from respeval.operators import report
 from respeval.operators.compare import arm_tests, verdicts
 from respeval.operators.metrics import group_metrics, parse_success
-from respeval.operators.roc import auroc, counterfactual_histogram, roc_points
+from respeval.operators.roc import auroc, counterfactual_histogram, roc_points, running_totals
 from respeval.sources.results import drop_nan, write_csv, write_json
 
 CELL = (
@@ -43,15 +44,46 @@ def score_cells(scored: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Analysis:
-    """The report tables; each is a lazy DataFrame over the cells."""
+    """The report tables over the cells.
+
+    Building one runs no job. The ROC tables are made when first asked for: that stores one
+    sorted histogram, which both read.
+    """
 
     cells: DataFrame
-    parse_success: DataFrame
-    metrics: DataFrame
-    tests: DataFrame
-    auroc: DataFrame
-    roc_points: DataFrame
-    verdicts: DataFrame
+    groups: tuple[str, ...] = ("model", "arm")
+
+    @cached_property
+    def parse_success(self) -> DataFrame:
+        return parse_success(self.cells, weight="rows")
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return group_metrics(self.cells, weight="rows")
+
+    @cached_property
+    def tests(self) -> DataFrame:
+        return arm_tests(self.cells, weight="rows")
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return verdicts(self.cells, weight="rows")
+
+    @cached_property
+    def _histogram(self) -> DataFrame:
+        return counterfactual_histogram(self.cells, self.groups, weight="rows")
+
+    @cached_property
+    def _totals(self) -> DataFrame:
+        return running_totals(self._histogram, self.groups)
+
+    @cached_property
+    def auroc(self) -> DataFrame:
+        return auroc(self._histogram, self.groups, totals=self._totals)
+
+    @cached_property
+    def roc_points(self) -> DataFrame:
+        return roc_points(self._histogram, self.groups, totals=self._totals)
 
     def metric_rows(self) -> DataFrame:
         return report.metric_rows(self.metrics)
@@ -70,19 +102,7 @@ def analyse(scored: DataFrame, keep_cells: bool = True) -> Analysis:
     so that further tables do not scan the results again; a lost block is recomputed.
     """
     cells = score_cells(scored)
-    if keep_cells:
-        cells = cells.persist()
-    histogram = counterfactual_histogram(cells, weight="rows")
-    groups = ("model", "arm")
-    return Analysis(
-        cells=cells,
-        parse_success=parse_success(cells, weight="rows"),
-        metrics=group_metrics(cells, weight="rows"),
-        tests=arm_tests(cells, weight="rows"),
-        auroc=auroc(histogram, groups),
-        roc_points=roc_points(histogram, groups),
-        verdicts=verdicts(cells, weight="rows"),
-    )
+    return Analysis(cells.persist() if keep_cells else cells)
 
 
 def write_report(analysis: Analysis, folder: str) -> None:

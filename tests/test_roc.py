@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -166,3 +167,52 @@ def test_bootstrap_is_repeatable_and_covers(spark):
         assert r.auroc_low < r.auroc < r.auroc_high
         assert r.auroc_high - r.auroc_low == pytest.approx(2 * 1.96 * error, rel=0.35)
         assert r.replicates == 200
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_bootstrap_vectors_against_repeated_rows(spark, ranges):
+    """Every replicate's area from rows repeated by their block's weight; ties and several ranges."""
+    rows = [(g, p, s, str(i)) for i, (g, p, s) in enumerate(random_rows(11, n=700))]
+    df = spark.createDataFrame(rows, "g string, positive boolean, s double, item_id string")
+    replicates, blocks = 25, 10
+    made = roc.bootstrap_auroc(
+        df, ["g"], F.col("positive"), F.col("s"), replicates=replicates, blocks=blocks, level=0.5, ranges=ranges
+    )
+    made = {r["g"]: r for r in made.collect()}
+    weights = roc._weights(42, blocks, replicates)
+    block = [int(hashlib.md5(f"42|{r[3]}".encode()).hexdigest()[:8], 16) % blocks for r in rows]
+    for g in made:
+        areas = []
+        for r in range(replicates):
+            again = [row[:3] for row, b in zip(rows, block) if row[0] == g for _ in range(int(weights[b, r]))]
+            area, neg, pos = pairwise(again).get(g, (None, 0, 0))
+            areas += [area] if neg and pos else []
+        low, high = np.percentile(areas, [25, 75])
+        assert made[g]["replicates"] == len(areas)
+        assert made[g]["auroc_low"] == pytest.approx(low) and made[g]["auroc_high"] == pytest.approx(high)
+
+
+def test_bootstrap_makes_no_row_per_replicate(spark):
+    df = spark.range(2000).select(
+        F.lit("a").alias("g"), (F.col("id") % 3 == 0).alias("positive"), F.sqrt("id").alias("s"), "id"
+    )
+    by_block = roc.score_histogram(df.withColumn("_block", F.col("id") % 10), ["g", "_block"], F.col("positive"), F.col("s"))
+    dealt = by_block.repartitionByRange(4, "g", "score").withColumn("_range", F.spark_partition_id())
+    parts = roc._range_vectors(dealt, ["g"], 42, 10, 50)
+    assert parts.count() == 4 * 50
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_selective_area(spark, ranges):
+    rows = random_rows(5, n=400)
+    made = {r["g"]: r for r in roc.selective_area(histogram(spark, rows), ["g"], ranges).collect()}
+    for g in {r[0] for r in rows}:
+        mine = [(p, s) for h, p, s in rows if h == g]
+        area, before = 0.0, None
+        for score in sorted({s for _, s in mine}, reverse=True):
+            answered = [p for p, s in mine if s >= score]
+            point = len(answered) / len(mine), sum(answered) / len(answered)
+            area += point[0] * point[1] if before is None else (point[0] - before[0]) * (point[1] + before[1]) / 2
+            before = point
+        assert made[g]["accuracy_area"] == pytest.approx(area)
+        assert made[g]["risk_area"] == pytest.approx(1 - area) and made[g]["n"] == len(mine)
