@@ -192,7 +192,7 @@ SELECT model, arm, dataset, count(*) AS n,
 FROM {source} GROUP BY model, arm, dataset"""
 
 
-for _key in ("group_metrics", "scored_table_metrics", "sink_roundtrip_csv", "analysis_metrics"):
+for _key in ("group_metrics", "scored_table_metrics", "sink_roundtrip_csv", "analysis_metrics", "incremental_metrics"):
     _on_scored(_key, _metrics("scored"))
 _on_scored(
     "overall_parse_rate",
@@ -442,6 +442,7 @@ for _key, _source in (
     ("auroc", _FAKE),
     ("analysis_auroc", _FAKE),
     ("report_files", _FAKE),
+    ("incremental_auroc", _FAKE),
     ("correctness_auroc", _CORRECT),
 ):
     _extra, _body = _area(_MA)
@@ -469,6 +470,20 @@ SELECT model, arm, score AS threshold, round(CAST(tp + fp AS DOUBLE) / (np + nn)
     _CORRECT + "," + _CUMULATED.format(g=_MA),
 )
 
+def _selective_area(groups: str) -> str:
+    return f"""
+SELECT {groups}, n, round(area, 9) AS accuracy_area, round(1 - area, 9) AS risk_area FROM (
+  SELECT {groups}, any_value(np + nn) AS n, sum(strip) AS area FROM (
+    SELECT {groups}, np, nn, CASE WHEN lag(cov) OVER w IS NULL THEN cov * acc
+      ELSE (cov - lag(cov) OVER w) * (acc + lag(acc) OVER w) / 2 END AS strip
+    FROM (SELECT *, CAST(tp + fp AS DOUBLE) / (np + nn) AS cov, CAST(tp AS DOUBLE) / (tp + fp) AS acc FROM cum)
+    WINDOW w AS (PARTITION BY {groups} ORDER BY score DESC))
+  GROUP BY {groups})"""
+
+
+_on_scored("selective_area", _selective_area(_MA), _CORRECT + "," + _CUMULATED.format(g=_MA))
+ORACLES["selective_area_events"] = _EVENT_SCORES + "," + _CUMULATED.format(g="hour") + _selective_area("hour")
+
 _WEIGHT = "CASE " + " ".join(
     # The distribution function of Poisson(1) in units of 2**-32.
     f"WHEN u < {round(sum(exp(-1) / factorial(i) for i in range(k + 1)) * 2**32)} THEN {k}"
@@ -516,6 +531,67 @@ areas AS (
 )""",
 )
 
+ORACLES["auroc_bootstrap_events"] = f"""
+WITH rows AS (
+  SELECT CAST(floor(hour(ts) / 12) AS INT) AS day_half, value AS score, event_type = 'purchase' AS positive,
+    {_drawn("event_id")} % 100 AS block FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL
+),
+draws AS (
+  SELECT block, replicate, {_WEIGHT} AS w FROM (
+    SELECT block, r AS replicate, {_drawn("block || '|' || r")} AS u
+    FROM range(100) AS b(block), range(1, 1001) AS c(r))
+  UNION ALL SELECT block, 0, 1 FROM range(100) AS b(block)
+),
+hist AS (
+  SELECT day_half, replicate, score, sum(w) FILTER (WHERE positive) AS p, sum(w) FILTER (WHERE NOT positive) AS n
+  FROM rows JOIN draws USING (block) GROUP BY ALL
+),
+cum AS (
+  SELECT day_half, replicate, coalesce(p, 0) AS pos, coalesce(n, 0) AS neg,
+    sum(coalesce(p, 0)) OVER (PARTITION BY day_half, replicate ORDER BY score DESC) AS tp FROM hist
+),
+areas AS (
+  SELECT day_half, replicate, sum(pos) AS np, sum(neg) AS nn, CAST(sum(neg * (tp - pos / 2.0::DOUBLE)) AS DOUBLE)
+    / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS area FROM cum GROUP BY ALL
+)
+SELECT day_half, round(any_value(a.area), 9) AS auroc, round(quantile_cont(d.area, 0.025), 9) AS auroc_low,
+  round(quantile_cont(d.area, 0.975), 9) AS auroc_high, count(d.area) AS replicates
+FROM areas a JOIN areas d USING (day_half)
+WHERE a.replicate = 0 AND a.np > 5 AND a.nn > 5 AND d.replicate > 0 AND d.np > 0 AND d.nn > 0
+GROUP BY day_half"""
+
+# --- attempts ----------------------------------------------------------------------------------
+
+for _key in ("attempt_ledger", "attempt_ledger_stream"):
+    ORACLES[_key] = """
+WITH calls AS (
+  SELECT sha256(user_id || '|' || strftime(ts, '%Y-%m-%d')) AS cache_key, epoch_us(ts) AS started,
+    CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'answered' END AS kind,
+    epoch_us(ts) + CAST(round(value * 1e6) AS BIGINT) AS ended FROM events
+),
+moment AS (
+  SELECT max(greatest(started, CASE WHEN kind IS NOT NULL THEN ended ELSE started END)) // 1000 * 1000
+    - 3600000000 AS as_of FROM calls
+),
+failing AS (
+  SELECT cache_key, kind, CASE WHEN kind = 'failed' THEN ended
+    WHEN kind IS NULL AND started + 120000000 < as_of THEN started + 120000000 END AS failed_at
+  FROM calls, moment
+),
+keys AS (
+  SELECT cache_key, count(*) AS attempts, count(failed_at) AS failures, max(failed_at) AS latest,
+    bool_or(coalesce(kind = 'answered', false)) AS answered, count(*) FILTER (WHERE kind IS NULL AND failed_at IS NULL) AS waiting
+  FROM failing GROUP BY cache_key
+),
+named AS (
+  SELECT *, CASE WHEN answered THEN 'answered' WHEN failures >= 5 THEN 'exhausted'
+    WHEN waiting > 0 THEN 'running' ELSE 'pending' END AS status FROM keys
+)
+SELECT cache_key, attempts, failures, status,
+  CASE WHEN status = 'exhausted' THEN 'max_retries_exceeded' END AS error,
+  CASE WHEN status = 'pending' THEN latest + CAST(1000000 * power(2, failures - 1) AS BIGINT) END AS next_at
+FROM named"""
+
 # --- calibration and rates -----------------------------------------------------------------
 
 _on_scored(
@@ -743,7 +819,7 @@ for _key in ("sink_roundtrip_json", "results_block_overwrite", "results_from_nam
         "md5(reasoning) AS reasoning_md5, raw_response IS NULL AS no_response, "
         "CAST(1 AS BIGINT) AS completion_tokens FROM results",
     )
-for _key in ("response_file_scan", "response_file_stream", "response_export_twice"):
+for _key in ("response_file_scan", "response_file_stream", "response_export_twice", "response_packed"):
     ORACLES[_key] = """
 SELECT sha256('m0|' || role || '|' || text) AS cache_key, 'm0' AS model, text AS raw_response,
   length(role) AS prompt_tokens, length(text) AS completion_tokens

@@ -12,6 +12,7 @@ from respeval import constants as C
 from respeval.functions import flags, tails
 from respeval.functions.extraction import extract_response
 from respeval.operators import (
+    attempts,
     calibration,
     compare,
     matching,
@@ -25,8 +26,10 @@ from respeval.operators import (
 from respeval.operators import prompts as prompting
 from respeval.plans.analysis import analyse, write_report
 from respeval.plans.experiment import collect_results, score_results
+from respeval.plans.incremental import refresh_cells, report_of_cells
 from respeval.session import work_dir
-from respeval.sources import questions, responses, results
+from respeval.sources import packed, questions, responses, results
+from respeval.streaming import attempts as attempt_stream
 from respeval.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,6 +305,25 @@ def risk_coverage(spark, sf_dir):
     return rounded(roc.risk_coverage(histogram, MODEL_ARM))
 
 
+@query
+def selective_area(spark, sf_dir):
+    histogram = roc.correctness_histogram(V.eval_scored(spark, sf_dir))
+    return rounded(roc.selective_area(histogram, MODEL_ARM))
+
+
+@query
+def selective_area_events(spark, sf_dir):
+    return rounded(roc.selective_area(_event_scores(spark, sf_dir), ["hour"]))
+
+
+@query
+def auroc_bootstrap_events(spark, sf_dir):
+    """A thousand replicates over a score of many values."""
+    events = V.table(spark, sf_dir, "events").withColumn("day_half", F.floor(F.hour("ts") / 12).cast("int"))
+    positive = F.col("event_type") == "purchase"
+    return rounded(roc.bootstrap_auroc(events, ["day_half"], positive, F.col("value"), id_col="event_id"))
+
+
 @query
 def auroc_bootstrap_ci(spark, sf_dir):
     scored = V.eval_scored(spark, sf_dir)
@@ -634,6 +656,81 @@ def report_files(spark, sf_dir):
     return rounded(spark.read.schema(analysis.auroc.schema).json(f"{folder}/auroc"))
 
 
+def _refreshed(spark, sf_dir):
+    """Report state after all results came in, then the treated blocks twice over."""
+    path, cells = work_dir(spark, "scored"), work_dir(spark, "cells")
+    scored = score_results(_records(spark, sf_dir))
+    results.write_results(scored, path)
+    refresh_cells(spark, path, cells)
+    treated = scored.where(F.col("arm") == C.TREATED_ARM)
+    for blocks in (treated.withColumn("is_cautious", ~F.col("is_cautious")), treated):
+        results.write_results(blocks, path)
+        refresh_cells(spark, path, cells)
+    return report_of_cells(spark, cells)
+
+
+@query
+def incremental_metrics(spark, sf_dir):
+    return rounded(_refreshed(spark, sf_dir).metrics)
+
+
+@query
+def incremental_auroc(spark, sf_dir):
+    return rounded(_refreshed(spark, sf_dir).auroc)
+
+
+@query
+def response_packed(spark, sf_dir):
+    """Responses come in batches, one of them twice, and are packed between batches."""
+    path = work_dir(spark, "packed")
+    turns = V.turn_responses(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("cache_key"), F.lit(4)))
+    for part in (0, 1, 1, 2, 3):
+        packed.append_packed(turns.where(F.col("part") == part).drop("part"), path, f"part-{part}", 20_000)
+        if part == 2:
+            packed.pack(spark, path, 20_000)
+    packed.append_packed(turns.drop("part"), path, "all again", 20_000)
+    return _turns(packed.read_packed(spark, path))
+
+
+# --- attempts --------------------------------------------------------------------------
+
+LATENESS = 3600
+
+
+def _call_events(spark, sf_dir):
+    """Events as calls: an error fails and a purchase answers after a while, others stay open."""
+    events = V.table(spark, sf_dir, "events")
+    at = F.col("ts").cast("timestamp")
+    end = F.timestamp_micros(F.unix_micros(at) + F.round(F.col("value") * 1e6).cast("long"))
+    kind = F.when(F.col("event_type") == "error", attempts.FAILED).when(
+        F.col("event_type") == "purchase", attempts.ANSWERED
+    )
+    calls = F.array(
+        F.struct(at.alias("at"), F.lit(attempts.STARTED).alias("kind")), F.struct(end.alias("at"), kind.alias("kind"))
+    )
+    key = F.sha2(F.concat_ws("|", "user_id", F.date_format(at, "yyyy-MM-dd")), 256)
+    return events.select(key.alias("cache_key"), F.col("event_id").cast("string").alias("attempt_id"), F.inline(calls))
+
+
+@query
+def attempt_ledger(spark, sf_dir):
+    events = _call_events(spark, sf_dir).where("kind IS NOT NULL")
+    latest = events.select((F.floor(F.unix_micros(F.max("at")) / 1000) * 1000 - LATENESS * 1_000_000).alias("t"))
+    return attempts.attempt_ledger(events, latest.scalar())
+
+
+@query
+def attempt_ledger_stream(spark, sf_dir):
+    """The same ledger from a stream, after the time-outs that the watermark has passed."""
+    folder, table, state = (work_dir(spark, name) for name in ("calls", "ledger", "state"))
+    events = _call_events(spark, sf_dir).where("kind IS NOT NULL")
+    events.write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).parquet(folder)
+    changes = attempt_stream.ledger_changes(stream, lateness=f"{LATENESS} seconds")
+    attempt_stream.keep_ledger(changes, table, state).awaitTermination()
+    return attempt_stream.read_ledger(spark, table)
+
+
 # --- report tables -------------------------------------------------------------------
 
 

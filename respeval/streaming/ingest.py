@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from respeval.schemas import RESPONSE_FILE
+from respeval.sources.packed import append_packed
 from respeval.sources.responses import append_responses, key_from_path, read_responses
 
 
@@ -42,3 +43,20 @@ def ingest_responses(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def ingest_packed(
+    stream: DataFrame, table: str, checkpoint: str, name: str = "stream", available_now: bool = True
+) -> StreamingQuery:
+    """Append each micro-batch to a packed table under ``name`` and its number.
+
+    A batch replayed after a failure is found in the commit log and changes nothing.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        append_packed(batch, table, f"{name}-{batch_id}")
+
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
