@@ -5,6 +5,7 @@ Texts with equal sets are one class, found by a digest; the work is on one text
 1. *Who can have a partner.* In any order of the n-grams, two linked sets share a number of
    n-grams of their first ``2d + 1``, where ``d`` is how many n-grams a linked set may lack.
    In the order of the hashes, a class stays only if enough of these occur elsewhere too.
+   Only these few are written for all texts; whole sets are made for those that stay.
 2. *Global order.* The n-grams of the classes that stay are counted. Those that occur once
    can be in no overlap: they only use up what the set may lack. The others are ordered by the
    logarithm of their frequency, rare ones first, then by hash.
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from respeval.llm.components import components
-from respeval.llm.tables import stored
+from respeval.llm.tables import stored, text_or_empty
 from respeval.llm.text import long_lists, map_texts, mix, shingle_sets, signed, word_hashes
 
 WORDS = 3
@@ -54,33 +55,52 @@ def _lacking(n: Column, percent: int) -> Column:
     return F.floor((100 - percent) * n / 100).cast("long")
 
 
-def gram_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
-    """Per row: size and digests of its set, and the set itself, ascending by hash."""
+def _digests(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    sizes = np.diff(bounds)
+    some = np.flatnonzero(sizes)
+    digests = np.zeros((2, len(sizes)), dtype=np.uint64)
+    if len(some):
+        solid = bounds[:-1][some]
+        digests[0, some] = np.add.reduceat(mix(values), solid)
+        digests[1, some] = np.bitwise_xor.reduceat(mix(values * np.uint64(0x9FB21C651E98DF25)), solid)
+    return digests
+
+
+def set_marks(docs: DataFrame, words: int, percent: int, key: str) -> DataFrame:
+    """Per row: size and digests of its set, and its first n-grams by hash."""
 
     def kernel(data, offsets):
-        hashes, starts = word_hashes(data, offsets)
-        values, bounds = shingle_sets(hashes, starts, words)
+        values, bounds = shingle_sets(*word_hashes(data, offsets), words)
         sizes = np.diff(bounds)
-        some = np.flatnonzero(sizes)
-        digests = np.zeros((2, len(sizes)), dtype=np.uint64)
-        if len(some):
-            solid = bounds[:-1][some]
-            digests[0, some] = np.add.reduceat(mix(values), solid)
-            digests[1, some] = np.bitwise_xor.reduceat(mix(values * np.uint64(0x9FB21C651E98DF25)), solid)
-        return [sizes.astype(np.int64), signed(digests[0]), signed(digests[1]), long_lists(signed(values), bounds)]
+        digests = _digests(values, bounds)
+        counts = np.where(sizes > 0, 2 * ((100 - percent) * sizes // 100) + 1, 0)
+        counts = np.minimum(counts, sizes)
+        ends = np.cumsum(counts)
+        first = values[np.repeat(bounds[:-1] - ends + counts, counts) + np.arange(counts.sum())]
+        lists = long_lists(signed(first), np.concatenate([[0], ends]))
+        return [sizes.astype(np.int64), signed(digests[0]), signed(digests[1]), lists]
 
-    return map_texts(docs, [key], "n long, digest long, digest_b long, grams array<long>", kernel)
+    return map_texts(docs, [key], "n long, digest long, digest_b long, first array<long>", kernel)
 
 
-def _can_have_partners(sets: DataFrame, percent: int) -> DataFrame:
-    """Classes whose first n-grams by hash occur often enough in other classes."""
-    lacks = _lacking(F.col("n"), percent)
-    first = sets.select(*_CLASS, "n", F.explode(F.slice("grams", F.lit(1), (2 * lacks + 1).cast("int"))).alias("gram"))
-    again = first.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("gram")
-    # The smallest partner may lack fewer, so fewer shared ones are asked for.
+def gram_sets(texts: DataFrame, words: int) -> DataFrame:
+    """Size, digest and whole set of every ``node``'s text."""
+
+    def kernel(data, offsets):
+        values, bounds = shingle_sets(*word_hashes(data, offsets), words)
+        return [np.diff(bounds).astype(np.int64), signed(_digests(values, bounds)[0]), long_lists(signed(values), bounds)]
+
+    return map_texts(texts, ["node"], "n long, digest long, grams array<long>", kernel)
+
+
+def _can_have_partners(marks: DataFrame, percent: int) -> DataFrame:
+    """Nodes whose first n-grams by hash occur often enough at other nodes."""
+    # The smallest partner may lack fewer n-grams, so fewer shared ones are asked for.
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
-    enough = first.join(again, "gram").groupBy(*_CLASS, "n").agg(F.count(F.lit(1)).alias("shared"))
-    return enough.where(F.col("shared") > _lacking(smallest, percent)).select(*_CLASS)
+    first = marks.select("node", _lacking(smallest, percent).alias("least"), F.explode("first").alias("gram"))
+    again = first.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("gram")
+    shared = first.join(again, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"))
+    return shared.where("shared > least").select("node")
 
 
 def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
@@ -298,15 +318,16 @@ def similar_documents(
     ``words``-word n-grams (with fewer words, the whole sequence). ``component_id`` is the
     smallest id reachable by links, the document's own included. Ids are whole numbers.
     """
-    made = gram_sets(docs, words, key)
-    marks = stored(made.drop("grams"), "set-marks")
+    marks = stored(set_marks(docs, words, percent, key), "set-marks")
     digests = ["digest", "digest_b"]
     usable = marks.where(F.col(key).isNotNull() & (F.col("n") > 0))
     classes = stored(usable.groupBy(*digests).agg(F.min(key).cast("long").alias("node")), "classes")
-    sets = made.withColumn("node", F.col(key).cast("long")).join(classes, ["node", *digests], "left_semi")
-    sets = stored(sets.select(*_CLASS, "n", "grams"), "class-sets")
-    able = stored(_can_have_partners(sets, percent), "classes")
-    ordered = stored(ordered_sets(sets.join(able, [*_CLASS], "left_semi"), percent), "ordered-sets")
+    chosen = usable.withColumn("node", F.col(key).cast("long")).join(classes, ["node", *digests], "left_semi")
+    able = stored(_can_have_partners(chosen.select("node", "n", "first"), percent), "able")
+    texts = docs.select(F.col(key).cast("long").alias("node"), text_or_empty().alias("text"))
+    sets = stored(gram_sets(texts.join(able, "node", "left_semi"), words), "sets")
+    ordered = stored(ordered_sets(sets, percent), "ordered-sets")
+    marks = marks.drop("first")
     rows = marks.join(classes, digests, "left")
     labels = components(_links(ordered, percent).unionAll(_same_id(rows, key)))
     of_class = classes.join(labels, "node", "left").select(*digests, F.coalesce("component", "node").alias("component"))
