@@ -4,11 +4,11 @@ Words are ranked by frequency. A pair of ranked units has an address: the tile o
 ranks, and the cell in it. In every task the cells of a crowded tile are counted with one
 dense ``bincount``, those of all other tiles as sorted coordinates with counts; Spark adds up
 the tasks' partial counts, one row per cell, so neither a frequent pair nor a frequent tile
-meets in one place uncounted. Pairs found often enough are ranked in turn, and the same
-counting over ranked pairs gives the phrases of three words (two pairs that overlap in a
-word) and of four (two pairs side by side whose middle pair is frequent as well).
+meets in one place uncounted. Pairs found often enough are ranked in turn and are the units of
+the next round: two pairs that overlap in a word are a phrase of three, two of these that
+overlap in two words one of four. Only phrases whose parts are frequent are ever counted.
 
-The ranks that tasks need are a table of at most ``WORD_TABLE`` words or ``PAIR_TABLE`` pairs.
+The ranks that tasks need are tables of at most ``WORD_TABLE`` words and ``PAIR_TABLE`` phrases.
 Where more units are frequent, those beyond the table are counted under their 64-bit keys,
 always as sorted coordinates, so the result is whole at every size.
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +33,12 @@ from respeval.llm.text import byte_ranges, mix, signed, word_table
 LEAST = 30
 TOP = 2000
 PERCENT = 80
+LONGEST = 4
 SCALE = 2_000_000
 WORD_TABLE = 1 << 16
 PAIR_TABLE = 1 << 19
 #: Pairs that a task holds before it counts them.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Ranks along the side of a tile, as a power of two, and what makes a tile crowded.
 SIDE = 10
 CROWDED = 1 << 16
@@ -166,40 +166,39 @@ def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(columns) for columns in zip(*parts))
 
 
-_GRAMS = "size int, a long, b long, n long"
-
-
-def _counted(texts: DataFrame, grams) -> DataFrame:
-    """Counts of the pairs that ``grams`` makes of each run of words: (size, a, b, n)."""
+def _counted(texts: DataFrame, ladder: list[Ranks]) -> DataFrame:
+    """How often two units of the ladder's last step follow each other: (a, b, n)."""
 
     def emit(held):
-        for size in sorted(held):
-            if held[size]:
-                a, b, n = tile_counts(*(np.concatenate(side) for side in zip(*held[size])))
-                table = pa.table({"size": pa.array(np.full(len(a), size, np.int32)), "a": a, "b": b, "n": n})
-                yield from table.to_batches(max_chunksize=1 << 16)
+        if held:
+            a, b, n = tile_counts(*(np.concatenate(side) for side in zip(*held)))
+            yield from pa.table({"a": a, "b": b, "n": n}).to_batches(max_chunksize=1 << 16)
 
     def run(batches):
-        held, pairs = {}, 0
+        held, pairs = [], 0
         for batch in batches:
             for keys, follows, *_ in _words(batch):
-                for size, a, b in grams(keys, follows):
-                    if len(a):
-                        held.setdefault(size, []).append((a, b))
-                        pairs += len(a)
+                a, b = _climbed(ladder, keys, follows)
+                held.append((a, b))
+                pairs += len(a)
                 if pairs >= HELD:
                     yield from emit(held)
-                    held, pairs = {}, 0
-        yield from emit(held)
+                    held, pairs = [], 0
+        if pairs:
+            yield from emit(held)
 
-    return texts.mapInArrow(run, _GRAMS).groupBy("size", "a", "b").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _pairs_of(words: Ranks, keys: np.ndarray, follows: np.ndarray):
-    """Both units of every place where a pair may be frequent, and whether it may."""
-    units, usable = words(keys)
-    fits = follows[1:] & usable[1:] & usable[:-1]
-    return units[:-1], units[1:], fits
+def _climbed(ladder: list[Ranks], keys: np.ndarray, follows: np.ndarray):
+    """All pairs of units that may be frequent, units being what the ladder makes of words."""
+    units, usable = ladder[0](keys)
+    fits = usable[:-1] & usable[1:] & follows[1:]
+    for ranks in ladder[1:]:
+        units, usable = ranks(_keys(units[:-1], units[1:]))
+        usable &= fits
+        fits = usable[:-1] & usable[1:]
+    return units[:-1][fits], units[1:][fits]
 
 
 def _ranked(frequent: DataFrame, most: int, *ties: str) -> tuple[Ranks, DataFrame]:
@@ -230,93 +229,61 @@ def frequent_phrases(
     lang: str = "lang",
     word_table: int = WORD_TABLE,
     pair_table: int = PAIR_TABLE,
+    longest: int = LONGEST,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Languages with their words in all (``lang``, ``n``), frequent words and frequent phrases.
 
-    Phrases have ``lang``, ``size``, the units ``u1`` to ``u4`` of their words (null beyond the
-    size), ``f`` and, per cut after ``k`` words, the counts of both parts as ``cuts``.
+    Phrases have ``lang``, the units ``u`` of their words, ``f``, and the counts of their first
+    1, 2, ... words (``heads``) and of their last ones (``tails``).
     """
     texts = _texts(docs, text, lang)
     counts = stored(word_counts(docs, text, lang), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    words, vocabulary = _ranked(counts.where(F.col("n") >= least), word_table, "lang", "word")
-    vocabulary = stored(vocabulary, "vocabulary")
-
-    def two(keys, follows):
-        a, b, fits = _pairs_of(words, keys, follows)
-        return [(2, a[fits], b[fits])]
-
     often = F.col("n") >= least
-    pairs = stored(_keyed(_counted(texts, two).where(often)), "pairs")
-    ranked, pairs = _ranked(pairs, pair_table, "a", "b")
-    pairs = stored(pairs, "ranked-pairs")
-
-    def more(keys, follows):
-        a, b, fits = _pairs_of(words, keys, follows)
-        units, usable = ranked(_keys(a, b))
-        usable &= fits
-        three = usable[1:] & usable[:-1]
-        four = three[1:] & three[:-1]
-        return [(3, units[:-1][three], units[1:][three]), (4, units[:-2][four], units[2:][four])]
-
-    grams = stored(_counted(texts, more).where(often), "grams")
-    return totals, vocabulary, _phrases(vocabulary, pairs, grams)
-
-
-def _cut(k: int, left: str, right: str):
-    return F.struct(F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r"))
+    ranks, vocabulary = _ranked(counts.where(often), word_table, "lang", "word")
+    vocabulary = stored(vocabulary, "vocabulary")
+    ladder, level, levels = [ranks], _single(vocabulary), []
+    for size in range(2, longest + 1):
+        pairs = stored(_keyed(_counted(texts, ladder).where(often)), f"phrases-{size}")
+        ranks, pairs = _ranked(pairs, pair_table, "a", "b")
+        ladder.append(ranks)
+        level = stored(_longer(level, pairs), f"ranked-{size}")
+        levels.append(level)
+    phrases = reduce(DataFrame.unionAll, levels)
+    return totals, vocabulary, phrases
+
+
+def _single(vocabulary: DataFrame) -> DataFrame:
+    none = F.array().cast("array<long>")
+    return vocabulary.select(
+        "unit", "lang", F.array("unit").alias("u"), F.col("n").alias("f"), none.alias("heads"), none.alias("tails")
+    )
 
 
-def _phrases(vocabulary: DataFrame, pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    single = vocabulary.select(F.col("unit"), "lang", F.col("n").alias("f"))
-    left = single.toDF("a", "lang", "f1")
-    right = single.select(F.col("unit").alias("b"), F.col("f").alias("f2"))
-    two = stored(pairs.withColumnRenamed("n", "f").join(left, "a").join(right, "b"), "two")
-    none = F.lit(None).cast("long")
-    first = two.select(
-        F.col("unit").alias("a"), "lang", F.col("a").alias("u1"), F.col("b").alias("u2"), "f1", F.col("f").alias("f12")
+def _longer(level: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Phrases one word longer, each from the two of ``level`` that it begins and ends with."""
+    first = level.select(
+        F.col("unit").alias("a"), "lang", F.col("u").alias("first"), F.concat("heads", F.array("f")).alias("heads")
     )
-    last = two.select(
-        F.col("unit").alias("b"), F.col("a").alias("v1"), F.col("b").alias("v2"), F.col("f").alias("f34"), F.col("f2").alias("f4")
+    last = level.select(
+        F.col("unit").alias("b"), F.slice("u", -1, 1).alias("last"), F.concat("tails", F.array("f")).alias("tails")
     )
-    both = grams.withColumnRenamed("n", "f").join(first, "a").join(last, "b")
-    three = stored(
-        both.where("size = 3").select(
-            "lang", "u1", "u2", F.col("v2").alias("u3"), "f",
-            F.array(_cut(1, "f1", "f34"), _cut(2, "f12", "f4")).alias("cuts"),
-        ),
-        "three",
-    )
-    head = three.select("u1", "u2", F.col("u3").alias("v1"), F.col("f").alias("f123"))
-    tail = three.select(F.col("u1").alias("u2"), F.col("u2").alias("v1"), F.col("u3").alias("v2"), F.col("f").alias("f234"))
-    four = both.where("size = 4").join(head, ["u1", "u2", "v1"]).join(tail, ["u2", "v1", "v2"])
-    cuts = F.array(_cut(1, "f1", "f234"), _cut(2, "f12", "f34"), _cut(3, "f123", "f4"))
     return (
-        two.select("lang", F.lit(2).alias("size"), F.col("a").alias("u1"), F.col("b").alias("u2"), none.alias("u3"), none.alias("u4"), "f", F.array(_cut(1, "f1", "f2")).alias("cuts"))
-        .unionAll(three.select("lang", F.lit(3), "u1", "u2", "u3", none, "f", "cuts"))
-        .unionAll(four.select("lang", F.lit(4), "u1", "u2", F.col("v1"), F.col("v2"), "f", cuts))
+        pairs.join(first, "a")
+        .join(last, "b")
+        .select("unit", "lang", F.concat("first", "last").alias("u"), F.col("n").alias("f"), "heads", "tails")
     )
 
 
 def _whole(phrases: DataFrame, percent: int) -> DataFrame:
     """Phrases that do not mostly occur as a part of one longer phrase."""
-    u = [F.col(f"u{i}") for i in range(1, 5)]
-    none = F.lit(None).cast("long")
-    part = lambda *units: F.struct(*[c.alias(f"u{i}") for i, c in enumerate([*units, none][:3], 1)])
-    parts = F.when(F.col("size") == 3, F.array(part(u[0], u[1]), part(u[1], u[2]))).when(
-        F.col("size") == 4,
-        F.array(part(u[0], u[1]), part(u[1], u[2]), part(u[2], u[3]), part(*u[:3]), part(*u[1:])),
-    )
-    longer = phrases.where("size > 2").select("f", F.inline(parts))
-    longer = longer.groupBy("u1", "u2", "u3").agg(F.max("f").alias("longest"))
-    held = phrases.alias("p").join(
-        longer.alias("q"),
-        (F.col("p.u1") == F.col("q.u1")) & (F.col("p.u2") == F.col("q.u2"))
-        & F.col("p.u3").eqNullSafe(F.col("q.u3")) & F.col("p.u4").isNull(),
-        "left",
-    )
+    sizes = F.sequence(F.lit(2), F.size("u") - 1)
+    places = lambda size: F.sequence(F.lit(1), F.size("u") - size + 1)
+    parts = F.flatten(F.transform(sizes, lambda k: F.transform(places(k), lambda at: F.slice("u", at, k))))
+    longer = phrases.where(F.size("u") > 2).select("f", F.explode(parts).alias("u"))
+    longer = longer.groupBy("u").agg(F.max("f").alias("longest"))
     within = F.coalesce(100 * F.col("longest") >= percent * F.col("f"), F.lit(False))
-    return held.where(~within).select("p.*")
+    return phrases.join(longer, "u", "left").where(~within).drop("longest")
 
 
 def collocations(
@@ -348,22 +315,20 @@ def ranked_phrases(
         f"CAST((CAST(f AS DECIMAL(20,0)) * CAST({SCALE} AS DECIMAL(7,0)))"
         " div (CAST(x.l AS DECIMAL(20,0)) + CAST(x.r AS DECIMAL(20,0))) AS BIGINT)"
     )
-    scored = F.expr(f"array_min(transform(cuts, x -> struct({score} AS score, x.k AS k, x.l AS l, x.r AS r)))")
-    kept = _whole(phrases, percent).withColumn("_cut", scored)
-    units = [f"u{i}" for i in range(1, 5)]
+    cuts = "transform(heads, (l, k) -> struct(k + 1 AS k, l AS l, reverse(tails)[k] AS r))"
+    lowest = F.expr(f"array_min(transform({cuts}, x -> struct({score} AS score, x.k AS k, x.l AS l, x.r AS r)))")
+    kept = _whole(phrases, percent).withColumn("cut", lowest)
     names = (
-        kept.select(*units, F.posexplode(F.array(*units)).alias("at", "unit"))
-        .where(F.col("unit").isNotNull())
+        kept.select("u", F.posexplode("u").alias("at", "unit"))
         .join(vocabulary.select("unit", "word"), "unit")
-        .groupBy(*units)
+        .groupBy("u")
         .agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
-        .select(*[F.col(u).alias(f"of_{u}") for u in units], F.array_join("words.word", " ").alias("phrase"))
+        .select("u", F.array_join("words.word", " ").alias("phrase"))
     )
-    same = reduce(and_, [F.col(u).eqNullSafe(F.col(f"of_{u}")) for u in units])
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return (
-        kept.join(names, same)
-        .select("lang", "phrase", F.col("f").alias("a"), "_cut.l", "_cut.r", "_cut.score")
+        kept.join(names, "u")
+        .select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
         .withColumn("rank", F.row_number().over(order).cast("long"))
         .where(F.col("rank") <= top)
         .join(totals, "lang")

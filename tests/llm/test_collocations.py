@@ -93,8 +93,7 @@ def test_scores_pass_64_bits(spark):
     large = 10**16
     vocabulary = spark.createDataFrame([(0, "en", "a", large + 3), (1, "en", "b", large + 7)], "unit long, lang string, word string, n long")
     pairs = spark.createDataFrame([(0, 0, 1, large)], "unit long, a long, b long, n long")
-    grams = spark.createDataFrame([], "size int, a long, b long, n long")
-    phrases = collocations._phrases(vocabulary, pairs, grams)
+    phrases = collocations._longer(collocations._single(vocabulary), pairs)
     totals = spark.createDataFrame([("en", 2 * large + 10)], "lang string, n long")
     (row,) = collocations.ranked_phrases(totals, vocabulary, phrases).collect()
     assert row["score"] == 2000000 * large // (2 * large + 10)
