@@ -20,6 +20,9 @@ A pair that stands in every document is one record per block. What is held back
 a part or a task is bounded; the largest totals per second id are a table of at most one row
 per entry of that tokenizer's vocabulary, as is the plan of the parts.
 
+Tokens never reach over a blank from a letter before it (where a tokenizer's file says so), so
+texts are cut there and each task keeps the ids of the pieces it has seen, up to a bound.
+
 Texts that are null or empty, or that a tokenizer does not give back byte for byte (such as
 texts with U+2581), have no tokens: their numbers are 0 and their digest is ''. Rows that
 share an id each count; rows without an id are kept, with their numbers, under null. Other
@@ -30,9 +33,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,14 +60,44 @@ SLICE = 1 << 20
 _SIDE = 32
 
 
+#: Blanks that follow a character which is certainly none, and do not end the text.
+_CUT = re.compile("(?<=[!-~\u00c0-\u00ff]) (?=.)", re.DOTALL)
+#: Pieces, and ids of pieces, that a task keeps.
+KEPT = 1 << 17
+
+
 class Tokens:
-    """A tokenizer's ids for texts, and the bytes of every id."""
+    """A tokenizer's ids for texts, and the bytes of every id.
 
-    def __init__(self, encode, pieces: list[bytes]):
+    ``encode`` gives the ids of texts that each stand after a blank. With ``pieces`` a text's
+    ids are those of its pieces, which are looked up first.
+    """
+
+    def __init__(self, encode, spellings: list[bytes], pieces: bool):
         self.encode = encode
-        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.pieces = pieces
+        self.known, self.ids, self.bounds = {}, np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.lengths = np.array([len(p) for p in spellings], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.data = np.frombuffer(b"".join(spellings), dtype=np.uint8)
+
+    def __call__(self, texts: list[str], cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (which are ``cut`` into pieces), and the texts' bounds among them."""
+        cut = cut if self.pieces else [[t] for t in texts]
+        flat = list(chain.from_iterable(cut))
+        if len(self.known) > KEPT or len(self.ids) > 8 * KEPT:
+            self.known, self.ids, self.bounds = {}, self.ids[:0], self.bounds[:1]
+        new = [p for p in dict.fromkeys(flat) if p not in self.known]
+        if new:
+            made = self.encode(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), dtype=np.int64)])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in made])])
+        at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sizes = np.diff(self.bounds)[at]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.bounds[at] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in cut])])]
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The joined bytes of the tokens."""
@@ -97,7 +133,9 @@ def byte_level(path: str) -> Tokens:
     def encode(texts):
         return [e.ids for e in tokenizer.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
 
-    return Tokens(encode, pieces)
+    # Such a splitter lets no token hold a blank after anything else.
+    splitter = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+    return Tokens(encode, pieces, splitter.get("type") == "ByteLevel" and splitter.get("use_regex", False))
 
 
 @lru_cache(maxsize=4)
@@ -111,8 +149,10 @@ def word_pieces(path: str) -> Tokens:
         piece = model.id_to_piece(at)
         return bytes([int(piece[3:5], 16)]) if model.is_byte(at) else piece.replace("▁", " ").encode()
 
-    pieces = [spelling(i) for i in range(model.get_piece_size())]
-    return Tokens(lambda texts: model.encode(texts, num_threads=1), pieces)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    # No piece holds a blank after anything else, and blanks and letters are left as they are.
+    apart = not any("▁" in name.lstrip("▁") for name in names) and model.normalize("  ﬁ  x ") == "▁▁▁ﬁ▁▁x▁"
+    return Tokens(lambda texts: model.encode(texts, num_threads=1), [spelling(i) for i in range(len(names))], apart)
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -126,12 +166,6 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(sizes.sum()))
-    return flat, np.concatenate([[0], np.cumsum(sizes)])
-
-
 def _usable(tokens: Tokens, ids: np.ndarray, bounds: np.ndarray, raw: list[bytes]) -> np.ndarray:
     """Which texts the tokens spell byte for byte."""
     spelled = tokens.spelled(ids)
@@ -157,8 +191,9 @@ def aligned(texts: list[str], a: Tokens, b: Tokens):
     Links come as (second id, first id) in one number, with each text's bounds among them.
     """
     raw = [f" {t}".encode() if t else b"" for t in texts]
-    ids_a, bounds_a = _joined(a.encode(texts))
-    ids_b, bounds_b = _joined(b.encode(texts))
+    cut = [_CUT.split(t) for t in texts]
+    ids_a, bounds_a = a(texts, cut)
+    ids_b, bounds_b = b(texts, cut)
     keep = np.array([bool(t) for t in texts], dtype=bool)
     keep &= _usable(a, ids_a, bounds_a, raw) & _usable(b, ids_b, bounds_b, raw)
     ids_a, bounds_a = _taken(ids_a, bounds_a, keep)

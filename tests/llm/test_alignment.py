@@ -5,6 +5,8 @@ import hashlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from respeval.llm import alignment
@@ -73,6 +75,16 @@ def found(frame):
     return sorted(map(tuple, frame.collect()), key=str)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab Z9é.,'s\n\t\xa0\u2003▁漢ﬁ\x85<>|\U0001f600"), max_size=25), min_size=1, max_size=5))
+def test_pieces_give_the_ids_of_the_whole_text(tokenizers, texts):
+    a, b = alignment.byte_level(alignment.BYTE_BPE), alignment.word_pieces(alignment.PIECE_BPE)
+    assert a.pieces and b.pieces
+    for mine, whole in ((a, lambda t: tokenizers[0].encode(" " + t, add_special_tokens=False).ids), (b, tokenizers[1].encode)):
+        ids, bounds = mine(texts, [alignment._CUT.split(t) for t in texts])
+        assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:])] == [whole(t) for t in texts]
+
+
 def test_query(spark, tokenizers):
     expected = plain(rows_of(spark.read.parquet(f"{SMALL}/documents.parquet")), tokenizers)
     assert found(QUERIES["op12_token_alignment"](spark, SMALL)) == expected
