@@ -12,9 +12,9 @@ pages are spread over ``SALTS`` join keys. Lines are told apart by 128 bits of h
 
 Lines are compared without blanks at either end; blank lines are never dropped. Pages
 without a host (null) have a site of their own kind, the null host. Null texts have no
-lines and stay null. Repeated rows are pages of their own. Hosts with fewer than
-``MIN_PAGES`` pages are left as they are, since any line is frequent there. Other columns are
-kept, whatever their names; ``n_chars``, where it exists, follows the text.
+lines and stay null. Repeated rows are pages of their own. The ratio holds for every host; on
+small ones a line must stand on ``LEAST`` pages, so a host with fewer pages loses nothing. Other
+columns are kept, whatever their names; ``n_chars``, where it exists, follows the text.
 """
 
 from __future__ import annotations
@@ -22,9 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from respeval.functions.once import computed_once
+from respeval.llm.tables import stored
+
 RATIO = 0.1
-MIN_PAGES = 20
+#: Pages that must hold a line, whatever the host's size.
+LEAST = 3
 SALTS = 32
+_BLANKS = "\t\r\x0b\x0c"
 
 
 def _mark(line: Column) -> Column:
@@ -32,8 +37,13 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def _trimmed(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
+def _bare(text: Column) -> Column:
+    """The lines as they are compared. Few texts have blanks other than spaces."""
+    odd = F.lit(False)
+    for blank in _BLANKS:
+        odd |= F.contains(text, F.lit(blank))
+    plain = F.when(odd, F.translate(text, _BLANKS, " " * len(_BLANKS))).otherwise(text)
+    return F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
 
 
 def boilerplate(
@@ -41,22 +51,21 @@ def boilerplate(
     host: str = "source",
     text: str = "text",
     ratio: float = RATIO,
-    min_pages: int = MIN_PAGES,
+    least: int = LEAST,
 ) -> DataFrame:
     """``host``, ``line`` (its hash), ``n_pages`` that hold it and ``host_pages``."""
     own = pages.select(F.col(host).alias("host"), F.col(text).cast("string").alias("text"))
     totals = own.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: _mark(_trimmed(x))))
-    blank = F.array(_mark(F.lit("")))
+    lines = F.array_except(_bare(F.col("text")), F.array(F.lit("")))
     counts = (
-        own.select("host", F.explode(F.array_except(lines, blank)).alias("line"))
+        own.select("host", F.explode(lines).alias("line"))
+        .select("host", _mark(F.col("line")).alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n_pages"))
-        .where(F.col("n_pages") > 1)
+        .where(F.col("n_pages") >= least)
     )
     both = counts.join(totals, counts["host"].eqNullSafe(totals["host"])).drop(totals["host"])
-    frequent = F.col("n_pages") > F.lit(ratio) * F.col("host_pages")
-    return both.where(frequent & (F.col("host_pages") >= min_pages))
+    return both.where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
 
 
 def without_boilerplate(
@@ -64,7 +73,7 @@ def without_boilerplate(
     host: str = "source",
     text: str = "text",
     ratio: float = RATIO,
-    min_pages: int = MIN_PAGES,
+    least: int = LEAST,
     salts: int = SALTS,
     counts: bool = False,
 ) -> DataFrame:
@@ -73,30 +82,37 @@ def without_boilerplate(
     With ``counts``, ``_lines_`` and ``_dropped_`` say how many lines with text a page had
     and how many of them went.
     """
-    listed = boilerplate(pages, host, text, ratio, min_pages)
+    listed = boilerplate(pages, host, text, ratio, least)
     listed = listed.groupBy(F.col("host").alias("_host_")).agg(
         F.collect_set("line").alias("_frequent_")
     )
-    listed = listed.withColumn(
-        "_salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    # Stored, so that its size is known where the pages are joined to it.
+    listed = stored(listed, "boilerplate").select(
+        "*",
+        F.col("_frequent_.a").alias("_first_"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_"),
     )
     spread = pages.withColumn("_salt_of_", F.pmod(F.xxhash64(F.col(text)), F.lit(salts)).cast("int"))
     on = F.col(host).eqNullSafe(F.col("_host_")) & (F.col("_salt_of_") == F.col("_salt_"))
-    joined = spread.join(listed, on, "left")
-    lines = F.split(F.col(text).cast("string"), "\n")
-    stays = F.filter(
-        lines, lambda x: ~F.array_contains(F.col("_frequent_"), _mark(_trimmed(x)))
+    whole = F.col(text).cast("string")
+    joined = computed_once(
+        spread.join(listed, on, "left"), {"_given_": F.split(whole, "\n"), "_bare_": _bare(whole)}
+    )
+    goes = F.transform(
+        "_bare_",
+        lambda x: F.array_contains("_first_", F.xxhash64(x)) & F.array_contains("_frequent_", _mark(x)),
     )
+    joined = computed_once(joined, {"_goes_": F.when(F.col("_frequent_").isNotNull(), goes)})
+    stays = F.filter("_given_", lambda x, at: ~F.get("_goes_", at))
     left = F.when(F.col("_frequent_").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))
     columns = [F.col(c) if c != text else left.alias(text) for c in pages.columns]
     if counts:
-        # Computed from the lines that stay, so that the pages are gone through once.
-        full = lambda a: F.size(F.filter(a, lambda x: _trimmed(x) != ""))
-        had = F.coalesce(F.when(F.col(text).isNotNull(), full(lines)), F.lit(0))
-        kept = F.when(F.col("_frequent_").isNull(), had).otherwise(
-            F.when(F.col(text).isNotNull(), full(stays)).otherwise(0)
-        )
-        columns += [had.cast("long").alias("_lines_"), (had - kept).cast("long").alias("_dropped_")]
+        had = F.size(F.filter("_bare_", lambda x: x != ""))
+        gone = F.size(F.filter("_goes_", lambda x: x))
+        columns += [
+            F.when(F.col("_bare_").isNotNull(), had).otherwise(0).cast("long").alias("_lines_"),
+            F.when(F.col("_goes_").isNotNull(), gone).otherwise(0).cast("long").alias("_dropped_"),
+        ]
     result = joined.select(*columns)
     if "n_chars" in pages.columns and text != "n_chars":
         size = F.length(text).cast(dict(pages.dtypes)["n_chars"])

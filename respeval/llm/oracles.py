@@ -16,9 +16,8 @@ WITH pages AS (
     SELECT k.source, k.bare
     FROM (SELECT DISTINCT page, source, bare FROM keyed WHERE bare <> '') k
     JOIN totals t ON k.source IS NOT DISTINCT FROM t.source
-    WHERE t.host_pages >= 20
     GROUP BY k.source, k.bare, t.host_pages
-    HAVING count(*) > 0.1::DOUBLE * t.host_pages AND count(*) > 1
+    HAVING count(*) > 0.1::DOUBLE * t.host_pages AND count(*) >= 3
 ), marked AS (
     SELECT k.*, f.bare IS NOT NULL AS dropped
     FROM keyed k LEFT JOIN frequent f

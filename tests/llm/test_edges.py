@@ -22,7 +22,7 @@ def items(spark):
 
 def operators(labels, items):
     return {
-        "lines": (lambda d: linededup.without_boilerplate(d, min_pages=2, ratio=0.3), True),
+        "lines": (lambda d: linededup.without_boilerplate(d, least=2, ratio=0.3), True),
         "mixing": (lambda d: mixing.mixed(d, mixing.labelled_domains(labels), mixing.TARGETS), True),
         "minhash": (minhash.near_duplicates, True),
         "toxicity": (lambda d: toxicity.score(d, toxicity.train(d, labels)), True),
