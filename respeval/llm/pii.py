@@ -1,40 +1,52 @@
 """Personal data by patterns, and terms that reveal it by information theory.
 
 Base spans come from four patterns (email, ip, card, phone), leftmost and non-overlapping
-per kind; matches that fail a kind's rule are dropped. A term discloses a kind of entity
-when the corpus shows that the two occur together: with contexts being lines,
-``PMI(t; c) = log2 p(t, c) / (p(t) p(c))`` is compared with the entity's information
-``IC(c) = -log2 p(c)``. Terms whose ratio PMI / IC reaches ``REMOVE`` are removed, those that
-reach ``GENERALISE`` are replaced by the kind they hint at. Term spans are added to the base
-spans; the base spans stay.
-
-Only DataFrame functions are used. Positions are code points, end exclusive. Counts cover
-every line of every text and are summed per task before they are shuffled. Joint counts come
-from lines with an entity; terms in at least ``MIN_LINES`` of these go on, a fixed support
-however large the corpus is. The disclosing terms stay a table, whose size has no bound: the
-distinct terms of each text are joined with it, over ``SALTS`` keys per term, and what is found
-is joined back to the texts by 128 bits of hash of the text, so that repeated rows and rows
-without an id need no key.
-
-Null texts count as empty; they and empty texts have no span. Repeated rows are lines of
-their own. The two noncharacters U+FDD0 and U+FDD1 mark places inside the job; a text
-that holds them is read as if they were U+FDD2. Other columns are kept, with any name.
+per kind; matches that fail a kind's rule are dropped. A term discloses a kind of entity when
+the corpus shows that the two occur together. Besides the four kinds, secrets (long runs of
+letters and digits mixed) are entities that terms may disclose; they have no spans of their own.
+
+A context is what stands within ``REACH`` code points of an entity on its line, without the
+entities themselves and without words that the border cuts. With ``p(c)`` the share of all words
+that stand in contexts of kind ``c``, ``PMI(t; c) = log2 p(c | t) / p(c)`` is compared with the
+kind's information ``IC(c) = -log2 p(c)``. Terms whose ratio PMI / IC reaches ``REMOVE`` are
+removed, those that reach ``GENERALISE`` are replaced by the kind they hint at. A term is a word
+of one letter or more, or two characters of scripts that write no blanks. Term spans are added to
+the base spans and never overlap them; the base spans stay.
+
+Only DataFrame functions are used. Positions are code points, end exclusive. Counts cover every
+word of every text and are summed per task before they are shuffled. Terms in at least ``LEAST``
+different contexts (entity and words) go on, a fixed support however large the corpus is; copies
+of one context count towards the shares, but not towards this support. The disclosing terms stay
+a table, whose size has no bound: the distinct terms of each text are joined with it, over
+``SALTS`` keys per term, and what is found is joined back to the texts by 128 bits of hash of the
+text, so that repeated rows and rows without an id need no key.
+
+Null texts count as empty; they and empty texts have no span. Repeated rows are texts of
+their own. The noncharacters U+FDD0 to U+FDD9 mark places inside the job, and a text that holds
+them is read as if they were U+FDDF. Other columns are kept, with any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from respeval.functions.once import computed_once
 from respeval.llm.tables import stored, text_or_empty
 
 REMOVE = 0.9
 GENERALISE = 0.6
-MIN_LINES = 20
+LEAST = 8
+#: Code points on either side of an entity that are its context.
+REACH = 40
 SALTS = 16
-_OPEN, _CLOSE, _OTHER = "﷐", "﷑", "﷒"
+_OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufddf"
+#: Stand for the labels of removed entities until the end.
+_LABELS = "\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6"
+_MARKS = "".join(chr(c) for c in range(0xFDD0, 0xFDDA))
 _STEP = 256
 
 #: Fixed patterns by kind. They find what the plain patterns of the docstring's kinds find,
@@ -50,7 +62,10 @@ PATTERNS = {
 #: What a text must hold for a kind to occur in it.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = tuple(PATTERNS)
-_TERM = r"\p{L}{3,}+"
+#: Kinds that terms may disclose.
+PROTECTED = {**PATTERNS, "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{32,}+"}
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+_TERM = rf"[{_UNSPACED}]{{1,2}}+|[\p{{L}}&&[^{_UNSPACED}]]++"
 
 
 def _luhn(digits: Column) -> Column:
@@ -77,7 +92,7 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    return F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)
+    return F.translate(text, _MARKS, _OTHER * len(_MARKS))
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -92,12 +107,16 @@ def _match(part: Column) -> Column:
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def _spans(parts: Column, valid) -> Column:
+_ACTED = "array<struct<start:int,end:int,action:string>>"
+
+
+def _spans(parts: Column, valid, action=None) -> Column:
     """Spans of the valid matches; taken ``_STEP`` at a time, so that lists stay short."""
 
     def add(state, part):
         end = state["pos"] + F.length(_match(part))
-        span = F.struct(state["pos"].alias("start"), end.alias("end"))
+        more = [action(_match(part)).alias("action")] if action else []
+        span = F.struct(state["pos"].alias("start"), end.alias("end"), *more)
         found = F.when(valid(_match(part)), F.concat(state["spans"], F.array(span)))
         return F.struct(
             (state["pos"] + F.length(part) - 1).alias("pos"), found.otherwise(state["spans"]).alias("spans")
@@ -106,7 +125,7 @@ def _spans(parts: Column, valid) -> Column:
     def state(pos, spans):
         return F.struct(pos.alias("pos"), spans.alias("spans"))
 
-    empty = F.array().cast(_SPANS)
+    empty = F.array().cast(_ACTED if action else _SPANS)
 
     def add_many(total, at):
         few = F.aggregate(F.slice(parts, at, F.lit(_STEP)), state(total["pos"], empty), add)
@@ -137,54 +156,84 @@ def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return plain.select("*", *[base_spans(F.col("_text_"), k).alias(f"_{k}_") for k in KINDS])
 
 
-def _without_base(text: Column) -> Column:
-    for kind in KINDS:
-        text = F.regexp_replace(text, PATTERNS[kind], " ")
+def _without(text: Column, kinds) -> Column:
+    for kind in kinds:
+        text = F.regexp_replace(text, PROTECTED[kind], " ")
     return text
 
 
-def _terms(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(_TERM), F.lit(0)))
+def _terms(text: Column) -> Column:
+    """All terms in order, repeated ones as often as they occur."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
+
+
+def _contexts(lines: DataFrame, kind: str, reach: int) -> DataFrame:
+    """``kind``, ``entity`` and ``near`` for every entity of a kind; no word is in two of them.
+
+    What stands between two entities belongs to the first where both reach all of it.
+    """
+    parts = computed_once(lines, {"parts": _parts(F.col("line"), PROTECTED[kind])}, keep=[])
+    valid = F.transform("parts", lambda p, i: F.when(i > 0, _valid(kind, _match(p))).otherwise(False))
+    gaps = F.transform("parts", lambda p: F.substring_index(p, _CLOSE, -1))
+    parts = computed_once(parts, {"valid": valid, "gaps": gaps})
+    short = lambda gap, by: F.length(gap) <= by
+
+    def before(i):
+        gap = F.get("gaps", i - 1)
+        taken = F.get("valid", i - 1) & short(gap, 2 * reach)
+        cut = F.regexp_replace(F.right(gap, F.lit(reach + 1)), r"^\p{L}+", "")
+        return F.when(taken, "").when(short(gap, reach), gap).otherwise(cut)
+
+    def after(i):
+        gap = F.get("gaps", i)
+        both = F.coalesce(F.get("valid", i + 1), F.lit(False)) & short(gap, 2 * reach)
+        cut = F.regexp_replace(F.left(gap, F.lit(reach + 1)), r"\p{L}+$", "")
+        return F.when(both | short(gap, reach), gap).otherwise(cut)
+
+    found = F.filter(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.get("valid", i))
+    one = lambda i: F.struct(
+        _match(F.get("parts", i)).alias("entity"), F.concat(before(i), F.lit(" "), after(i)).alias("near")
+    )
+    each = parts.where(F.size("parts") > 1).select(F.inline(F.transform(found, one)))
+    return each.select(F.lit(kind).alias("kind"), "entity", _without(F.col("near"), PROTECTED).alias("near"))
 
 
 def disclosing_terms(
     docs: DataFrame,
     text: str = "text",
-    min_lines: int = MIN_LINES,
+    least: int = LEAST,
     generalise: float = GENERALISE,
+    reach: int = REACH,
 ) -> DataFrame:
     """``term``, ``kind`` and ``ratio`` of the terms whose PMI / IC reaches ``generalise``."""
     lines = docs.select(F.explode(F.split(_plain(text_or_empty(text)), "\n")).alias("line"))
-    sensitive = lines.where(F.col("line").rlike("[0-9]|@"))
-    flagged = sensitive.select("line", *[F.size(base_spans(F.col("line"), k)).alias(k) for k in KINDS])
-    kinds = F.array(*[F.when(F.col(k) > 0, F.lit(k)) for k in KINDS])
-    flagged = flagged.select("line", F.array_compact(kinds).alias("kinds")).where(F.size("kinds") > 0)
-    with_kind = flagged.select("kinds", _terms(_without_base(F.col("line"))).alias("terms"))
-    with_kind = stored(with_kind, "sensitive-lines")
-    of_kind = with_kind.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(
-        F.count(F.lit(1)).alias("kind_lines")
-    )
-    joint = (
-        with_kind.select("kinds", F.explode("terms").alias("term"))
-        .select(F.explode("kinds").alias("kind"), "term")
-        .groupBy("kind", "term")
-        .agg(F.count(F.lit(1)).alias("joint_lines"))
-        .where(F.col("joint_lines") >= min_lines)
-        .join(of_kind, "kind")
+    sensitive = stored(lines.where(F.col("line").rlike("|".join(f"(?:{p})" for p in PROTECTED.values()))), "sensitive-lines")
+    found = reduce(DataFrame.unionAll, [_contexts(sensitive, kind, reach) for kind in PROTECTED])
+    # Copies of a context are merged first, so that none is gathered anywhere.
+    merged = found.groupBy("kind", "entity", "near").agg(F.count(F.lit(1)).alias("copies"))
+    words = merged.select("kind", "copies", _terms(F.col("near")).alias("terms"))
+    words = words.select("kind", "copies", "terms", F.posexplode("terms").alias("at", "term"))
+    first = F.array_position("terms", F.col("term")) == F.col("at") + 1
+    near = stored(
+        words.groupBy("kind", "term").agg(F.sum("copies").alias("near"), F.count(F.when(first, 1)).alias("contexts")),
+        "terms-near",
     )
-    joint = stored(joint, "joint-terms")
+    of_kind = near.groupBy("kind").agg(F.sum("near").alias("kind_words"))
+    joint = stored(near.where(F.col("contexts") >= least).join(of_kind, "kind"), "joint-terms")
     if joint.isEmpty():
         return joint.select("term", "kind", F.lit(0.0).alias("ratio")).where("false")
-    everywhere = lines.select(F.explode(_terms(F.col("line"))).alias("term"))
-    term_lines = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("term_lines"))
-    term_lines = term_lines.where(F.col("term_lines") >= min_lines)
-    total = lines.count()
-    p_kind = F.col("kind_lines") / total
-    pmi = F.log2(F.col("joint_lines") / F.col("term_lines") / p_kind)
-    # Where every line has the entity, it carries no information and no term discloses it.
+    # Letters inside entities are no terms: addresses and secrets are the kinds that have any.
+    holds = F.contains("line", F.lit("@")) | F.col("line").rlike("(?<![A-Za-z0-9])[A-Za-z0-9]{32}")
+    outside = F.when(holds, _without(F.col("line"), ("email", "secret"))).otherwise(F.col("line"))
+    everywhere = lines.select(F.explode(_terms(outside)).alias("term"))
+    counts = stored(everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    total = counts.agg(F.sum("n")).head()[0]
+    scored = joint.join(counts, "term")
+    p_kind = F.col("kind_words") / F.lit(total)
+    pmi = F.log2(F.col("near") / F.col("n") / p_kind)
+    # Where every word is near the kind, that says nothing and no term discloses it.
     ratio = F.when(p_kind < 1, pmi / -F.log2(p_kind)).otherwise(0.0)
-    scored = joint.join(term_lines, "term").select("term", "kind", ratio.alias("ratio"))
-    return scored.where(F.col("ratio") >= generalise)
+    return scored.select("term", "kind", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
 
 
 def action_table(terms: DataFrame, remove: float = REMOVE) -> DataFrame:
@@ -211,39 +260,61 @@ def _mark(text: Column) -> Column:
 
 
 def _known_terms(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
-    """``_mark_`` of each text that holds terms of ``table``, and these as ``_own_terms_``."""
+    """``_mark_`` of each text that holds terms of ``table``, and these with their actions."""
     texts = docs.select(_plain(text_or_empty(text)).alias("text"))
-    present = texts.select(_mark(F.col("text")).alias("_mark_"), F.explode(_terms(F.col("text"))).alias("term"))
+    own = F.array_distinct(_terms(F.col("text")))
+    present = texts.select(_mark(F.col("text")).alias("_mark_"), F.explode(own).alias("term"))
     present = present.withColumn("salt", F.pmod(F.col("_mark_.a"), F.lit(SALTS)).cast("int"))
-    spread = table.select("term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = present.join(spread, ["term", "salt"]).groupBy("_mark_")
+    spread = table.select("term", "action", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = present.join(spread, ["term", "salt"]).groupBy("_mark_")
+    known = known.agg(F.collect_set(F.struct("term", "action")).alias("pairs"))
     # Stored, so that both sides of the next join come from a shuffle and can be split there.
-    return stored(own.agg(F.collect_set("term").alias("_own_terms_")), "texts-with-terms")
+    return stored(known.select("_mark_", F.map_from_entries("pairs").alias("_actions_")), "texts-with-terms")
+
+
+def _with_actions(docs: DataFrame, actions: Mapping[str, str] | DataFrame, text: str) -> DataFrame:
+    """``docs`` plus ``_actions_``: a text's disclosing terms, null where it has none."""
+    known = _known_terms(docs, _as_table(docs, actions), text)
+    marked = docs.withColumn("_mark_", _mark(_plain(text_or_empty(text))))
+    return marked.join(known, "_mark_", "left").select(*docs.columns, "_actions_")
+
+
+def _replaced(text: Column, pattern: str, new) -> Column:
+    """A text with ``new`` of each match in its place."""
+    parts = _parts(text, pattern)
+    rest = lambda p: F.substring_index(p, _CLOSE, -1)
+    changed = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(new(_match(p)), rest(p)))
+    return F.concat(parts[0], F.array_join(changed, ""))
+
+
+def _valid_replaced(text: Column, new) -> Column:
+    """A text with ``new`` (of kind and match) for every valid match of a base kind."""
+    for kind in KINDS:
+        text = _replaced(text, PATTERNS[kind], lambda m, k=kind: F.when(_valid(k, m), new(k, m)).otherwise(m))
+    return text
 
 
 def with_all_spans(
     docs: DataFrame, actions: Mapping[str, str] | DataFrame, text: str = "text"
 ) -> DataFrame:
-    """``with_base_spans`` plus ``_term_``: spans of disclosing terms outside base spans.
+    """``with_base_spans`` plus ``_term_``: spans of disclosing terms, with their ``action``.
 
     ``actions`` is a table as ``action_table`` gives it, of any size, or a mapping.
     """
-    known = _known_terms(docs, _as_table(docs, actions), text)
-    marked = docs.withColumn("_mark_", _mark(_plain(text_or_empty(text))))
-    own = F.coalesce("_own_terms_", F.array().cast("array<string>"))
-    joined = marked.join(known, "_mark_", "left").select(*docs.columns, own.alias("_own_terms_"))
-    based = with_base_spans(joined, text)
-    empty = F.array().cast(_SPANS)
-    found = _spans(
-        _parts(F.col("_text_"), _TERM), lambda m: F.array_contains(F.col("_own_terms_"), F.lower(m))
-    )
-    taken = F.concat(*[f"_{k}_" for k in KINDS])
-    free = F.filter(
-        found,
-        lambda s: ~F.exists(taken, lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"])),
+    based = with_base_spans(_with_actions(docs, actions, text), text)
+    # Entities are blanked out in their own length, so that terms lie outside of them.
+    masked = _valid_replaced(F.col("_text_"), lambda _, m: F.repeat(F.lit(" "), F.length(m)))
+    action = lambda m: F.try_element_at("_actions_", F.lower(m))
+    found = _spans(_parts(masked, _TERM), lambda m: action(m).isNotNull(), action)
+    spans = F.when(F.col("_actions_").isNotNull(), found).otherwise(F.array().cast(_ACTED))
+    return based.withColumn("_term_", spans).drop("_actions_")
+
+
+def joined_actions() -> Column:
+    """``action:start:end`` of the term spans, joined by commas."""
+    return F.array_join(
+        F.transform("_term_", lambda s: F.concat_ws(":", s["action"], s["start"], s["end"])), ","
     )
-    spans = F.when(F.size("_own_terms_") > 0, free).otherwise(empty)
-    return based.withColumn("_term_", spans).drop("_own_terms_")
 
 
 def joined_spans(kinds) -> Column:
@@ -258,24 +329,22 @@ def joined_spans(kinds) -> Column:
     return F.array_join(F.concat(*[named(k) for k in kinds]), ",")
 
 
-def sanitised(docs: DataFrame, actions: Mapping[str, str], text: str = "text") -> DataFrame:
-    """``docs`` with personal data as ``[kind]``, and terms removed or generalised."""
-
-    def replaced(column: Column, pattern: str, new) -> Column:
-        parts = _parts(column, pattern)
-        rest = lambda p: F.substring_index(p, _CLOSE, -1)
-        changed = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(new(_match(p)), rest(p)))
-        return F.concat(parts[0], F.array_join(changed, ""))
+def sanitised(docs: DataFrame, actions: Mapping[str, str] | DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with personal data as ``[kind]``, and terms removed or generalised.
 
-    result = docs.withColumn("_text_", _plain(F.col(text).cast("string")))
-    for kind in KINDS:
-        label = lambda m, k=kind: F.when(_valid(k, m), F.lit(f"[{k}]")).otherwise(m)
-        result = result.withColumn("_text_", replaced(F.col("_text_"), PATTERNS[kind], label))
-    if actions:
-        flat = [F.lit(x) for t in sorted(actions) for x in (t, "" if actions[t] == "remove" else f"[{actions[t]}]")]
-        table = F.create_map(*flat)
-        term = r"(?<!\[)" + _TERM
-        result = result.withColumn(
-            "_text_", replaced(F.col("_text_"), term, lambda m: F.coalesce(F.try_element_at(table, F.lower(m)), m))
-        )
-    return result.withColumn(text, F.col("_text_")).select(*docs.columns)
+    Where spans of two kinds overlap, the first kind listed is replaced. A label is one
+    character until all is replaced, so that neither patterns nor terms see its letters.
+    """
+    label = dict(zip(PROTECTED, _LABELS))
+    result = _with_actions(docs, actions, text)
+    plain = _plain(F.col(text).cast("string"))
+    result = result.withColumn("_text_", _valid_replaced(plain, lambda kind, _: F.lit(label[kind])))
+    action = lambda m: F.try_element_at("_actions_", F.lower(m))
+    new = lambda m: reduce(
+        lambda made, kind: made.when(action(m) == kind, F.lit(label[kind])), label, F.when(action(m) == "remove", "")
+    ).otherwise(m)
+    replaced = F.when(F.col("_actions_").isNotNull(), _replaced(F.col("_text_"), _TERM, new))
+    cleaned = F.coalesce(replaced, "_text_")
+    for kind, mark in label.items():
+        cleaned = F.replace(cleaned, F.lit(mark), F.lit(f"[{kind}]"))
+    return result.withColumn(text, cleaned).select(*docs.columns)

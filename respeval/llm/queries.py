@@ -63,6 +63,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(f"_{kind}_").cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(pii.joined_spans(pii.KINDS), 256).alias("base_sha256"),
         pii.joined_spans([*pii.KINDS, "term"]).alias("spans"),
+        F.size("_term_").cast("long").alias("n_term"),
+        sum((F.size(f"_{kind}_") for kind in (*pii.KINDS, "term")), F.lit(0)).cast("long").alias("n_spans"),
+        pii.joined_actions().alias("term_actions"),
     )
 
 
