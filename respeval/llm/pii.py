@@ -281,10 +281,10 @@ def _with_actions(docs: DataFrame, actions: Mapping[str, str] | DataFrame, text:
 
 def _replaced(text: Column, pattern: str, new) -> Column:
     """A text with ``new`` of each match in its place."""
-    parts = _parts(text, pattern)
     rest = lambda p: F.substring_index(p, _CLOSE, -1)
-    changed = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(new(_match(p)), rest(p)))
-    return F.concat(parts[0], F.array_join(changed, ""))
+    # The parts are named once, as the text may itself be a long expression.
+    changed = F.transform(_parts(text, pattern), lambda p, i: F.when(i > 0, F.concat(new(_match(p)), rest(p))).otherwise(p))
+    return F.array_join(changed, "")
 
 
 def _valid_replaced(text: Column, new) -> Column:
@@ -304,10 +304,12 @@ def with_all_spans(
     based = with_base_spans(_with_actions(docs, actions, text), text)
     # Entities are blanked out in their own length, so that terms lie outside of them.
     masked = _valid_replaced(F.col("_text_"), lambda _, m: F.repeat(F.lit(" "), F.length(m)))
+    parts = F.when(F.col("_actions_").isNotNull(), _parts(masked, _TERM))
+    based = computed_once(based, {"_parts_": parts})
     action = lambda m: F.try_element_at("_actions_", F.lower(m))
-    found = _spans(_parts(masked, _TERM), lambda m: action(m).isNotNull(), action)
+    found = _spans(F.col("_parts_"), lambda m: action(m).isNotNull(), action)
     spans = F.when(F.col("_actions_").isNotNull(), found).otherwise(F.array().cast(_ACTED))
-    return based.withColumn("_term_", spans).drop("_actions_")
+    return based.withColumn("_term_", spans).drop("_actions_", "_parts_")
 
 
 def joined_actions() -> Column:
