@@ -157,7 +157,9 @@ class Transform:
         #: The empty suffixes come first. ``fresh`` marks those inserted last.
         self.places = self.ends = ends
         self.fresh = np.ones(len(ends), dtype=bool)
-        self.common = np.zeros(len(ends), dtype=np.uint8)
+        #: Wide enough for ``most``.
+        self.kind = np.min_scalar_type(most)
+        self.common = np.zeros(len(ends), dtype=self.kind)
         for _ in range(int(sizes.max(initial=0))):
             self._insert()
 
@@ -168,12 +170,12 @@ class Transform:
         symbol, places, fresh = before[order], self.places[order] - np.int32(1), self.fresh[order]
         # Old suffixes keep their order, and what they share with each other.
         heads = len(self.ends)
-        common = np.empty(len(order), dtype=np.uint8)
+        common = np.empty(len(order), dtype=self.kind)
         common[~fresh] = self.common[heads:]
         changed = fresh.copy()
         changed[1:] |= fresh[:-1]
         at = np.flatnonzero(changed)
-        below = np.zeros(len(at), dtype=np.uint8)
+        below = np.zeros(len(at), dtype=self.kind)
         pair = np.flatnonzero((at > 0) & (symbol[at] == symbol[at - 1]))
         if len(pair):
             # What two suffixes share is what their tails share, plus one symbol.
@@ -185,7 +187,7 @@ class Transform:
         common[at] = below
         self.places = np.concatenate([self.ends, places])
         self.fresh = np.concatenate([np.zeros(heads, bool), fresh])
-        self.common = np.concatenate([np.zeros(heads, np.uint8), common])
+        self.common = np.concatenate([np.zeros(heads, self.kind), common])
 
     def repeats(self) -> list[np.ndarray]:
         """For each document, where strings of ``most`` bytes begin that occur again."""
