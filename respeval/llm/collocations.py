@@ -187,7 +187,10 @@ def _counted(texts: DataFrame, ladder: list[Ranks]) -> DataFrame:
         if pairs:
             yield from emit(held)
 
-    return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(run, "a long, b long, n long")
+    # A fixed number of parts, which is not merged into few large ones: each adds up in little memory.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counted.repartition(parts, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _climbed(ladder: list[Ranks], keys: np.ndarray, follows: np.ndarray):
