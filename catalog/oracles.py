@@ -682,6 +682,20 @@ SELECT * FROM (SELECT lang, doc_id, source, text,
   CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INT) AS position FROM documents)
 WHERE position <= 3"""
 
+ORACLES["field_profile"] = "\nUNION ALL ".join(
+    f"SELECT '{_table}' AS split, '{_field}' AS field, '{_type}' AS type, count({_field}) AS n_values FROM {_table}"
+    for _table, _fields in {
+        "region": {"r_regionkey": "BIGINT", "r_name": "STRING"},
+        "events": {
+            "event_id": "BIGINT", "ts": "TIMESTAMP_NTZ", "user_id": "BIGINT", "event_type": "STRING",
+            "value": "DOUBLE", "props": "STRING",
+        },
+        "embeddings": {"vec_id": "BIGINT", "embedding": "ARRAY<FLOAT>", "label": "BIGINT"},
+        "conversations": {"conv_id": "BIGINT", "turn": "BIGINT", "role": "STRING", "text": "STRING"},
+    }.items()
+    for _field, _type in _fields.items()
+)
+
 # --- questions, prompts and replies ---------------------------------------------------------------
 
 _ITEMS = r"""
@@ -812,7 +826,7 @@ _on_items(
 
 # --- sinks and report tables ------------------------------------------------------------------------
 
-for _key in ("sink_roundtrip_json", "results_block_overwrite", "results_from_named_arm"):
+for _key in ("sink_roundtrip_json", "results_block_overwrite", "results_from_named_arm", "results_array_files"):
     _on_scored(
         _key,
         "SELECT model, arm, dataset, item_id, correct_index, predicted_index, confidence, parse_error, "

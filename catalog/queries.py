@@ -416,6 +416,13 @@ def split_profile(spark, sf_dir):
     return profile.split_profile(V.table(spark, sf_dir, "documents"), "lang")
 
 
+@query
+def field_profile(spark, sf_dir):
+    """Fields of four given tables that share no schema, in one pass over each."""
+    names = ("region", "events", "embeddings", "conversations")
+    return profile.field_profile({name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names})
+
+
 @query
 def split_preview(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select("lang", "doc_id", "source", "text")
@@ -551,6 +558,18 @@ def sink_roundtrip_json(spark, sf_dir):
     return _flat(results.read_results_json(spark, path))
 
 
+@query
+def results_array_files(spark, sf_dir):
+    """Results from files of one JSON array each, cut into parts wherever Spark likes."""
+    path = work_dir(spark, "results-array")
+    texts = _records(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    # A task's first row opens the array; what closes it says nothing about the records.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    opened = F.concat(F.when(first, "[").otherwise(""), "value")
+    texts.select(opened.alias("value")).write.option("lineSep", ",\n").text(path)
+    return _flat(results.read_results_json(spark, path, array_file=True))
+
+
 @query
 def results_from_named_arm(spark, sf_dir):
     """Records that call the arm by another name, read back under that name."""

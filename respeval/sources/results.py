@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from respeval.schemas import RESULTS, SCORED
+from respeval.sources.arrays import array_records, parsed_records
 
 BLOCK = ("model", "arm", "dataset")
 
@@ -52,17 +53,22 @@ def read_results_json(
     arm_col: str = "arm",
     required: Sequence[str] = REQUIRED,
 ) -> DataFrame:
-    """Results from JSON lines, or from one array file (which one task must read).
+    """Results from JSON lines, or from files that each hold one array (read in parts too).
 
     ``arm_col`` is the name the records have for the arm. A ``required`` column that no
     record has raises, since it would read as NULL throughout; to know, the records are
     read once more when the frame is built. Pass no ``required`` columns to skip that.
     """
     fields = [StructField(arm_col, f.dataType) if f.name == "arm" else f for f in RESULTS.fields]
-    reader = spark.read.option("multiLine", array_file)
-    records = reader.schema(StructType(fields)).json(path)
     wanted = {arm_col if name == "arm" else name for name in required}
-    held = spark.read.option("multiLine", array_file).json(path).columns if wanted else []
+    if array_file:
+        texts = array_records(spark, path)
+        records = parsed_records(texts, StructType(fields))
+        names = texts.select(F.explode(F.json_object_keys("record"))).distinct()
+        held = [row[0] for row in names.collect()] if wanted else []
+    else:
+        records = spark.read.schema(StructType(fields)).json(path)
+        held = spark.read.json(path).columns if wanted else []
     absent = sorted(wanted.difference(held))
     if absent:
         raise ValueError(f"no record in {path} has {', '.join(absent)}")
