@@ -97,30 +97,37 @@ def _can_have_partners(marks: DataFrame, percent: int) -> DataFrame:
     """Nodes whose first n-grams by hash occur often enough at other nodes."""
     # The smallest partner may lack fewer n-grams, so fewer shared ones are asked for.
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
-    first = marks.select("node", _lacking(smallest, percent).alias("least"), F.explode("first").alias("gram"))
+    least = marks.groupBy("node").agg(F.min(_lacking(smallest, percent)).alias("least"))
+    # Only node and n-gram travel: every n-gram of every text is a row here.
+    first = marks.select("node", F.explode("first").alias("gram"))
     again = first.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("gram")
-    shared = first.join(again, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"))
-    return shared.where("shared > least").select("node")
+    shared = first.join(again, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.join(least, "node").where("shared > least").select("node")
 
 
 def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
     """Sets without the n-grams that occur once, in the global order, if they can have a link."""
-    grams = sets.select(*_CLASS, "n", F.explode("grams").alias("gram"))
+    several = sets.groupBy("node").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    several = stored(several.where("low < high").select("node", F.lit(True).alias("several")), "several-texts")
+    # A digest tells the texts of one id apart; where an id has one text, it need not travel.
+    own = F.when(F.col("several"), F.col("digest")).otherwise(F.lit(0)).alias("digest")
+    sets = sets.join(several, "node", "left").select("node", own, "n", "grams")
+    grams = sets.select(*_CLASS, F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     rank = F.length(F.bin("f")).cast("long")
     place = F.shiftleft(rank, _HASH_BITS).bitwiseOR(F.col("gram").bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
     shared = grams.join(often.select("gram", place.alias("place")), "gram")
-    whole = shared.groupBy(*_CLASS, "n").agg(F.sort_array(F.collect_set("place")).alias("grams"))
+    whole = shared.groupBy(*_CLASS).agg(F.sort_array(F.collect_set("place")).alias("grams"))
+    whole = whole.join(sets.select(*_CLASS, "n").distinct(), [*_CLASS])
     spare = _lacking(F.col("n"), percent) - (F.col("n") - F.size("grams"))
     return whole.withColumn("spare", spare).where("spare >= 0")
 
 
-def _families(ordered: DataFrame, first: DataFrame) -> DataFrame:
-    """Ordered sets with the smallest node of their family."""
+def _families(first: DataFrame) -> DataFrame:
+    """``node`` and the smallest node of its family, where it has one."""
     centre = first.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     star = first.join(centre.select("gram", "a"), "gram").select("a", F.col("node").alias("b"))
-    family = components(star)
-    return ordered.join(family.withColumnRenamed("component", "family"), "node")
+    return components(star).withColumnRenamed("component", "family")
 
 
 def _weight() -> Column:
@@ -265,21 +272,27 @@ def _tree_links(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def _links(ordered: DataFrame, percent: int) -> DataFrame:
     grams = F.expr("slice(grams, 1, CAST(spare AS INT) + 1)")
     first = stored(ordered.select("node", F.explode(grams).alias("gram")).distinct(), "first-grams")
-    placed = stored(_families(ordered, first).withColumn("weight", _weight()), "families")
-    sizes = placed.groupBy("family").agg(F.sum("weight").alias("total"))
-    blocks = placed.join(sizes, "family").withColumn("component", F.col("node")).withColumn("tree", F.col("family"))
+    family = stored(_families(first), "families")
+    weights = ordered.select("node", _weight().alias("weight"))
+    sizes = weights.join(family, "node").groupBy("family").agg(F.sum("weight").alias("total"))
+    sizes = stored(sizes, "family-sizes")
     last = F.floor(F.col("total") / BLOCK)
     # Small families share a task, about as many as fill a block; large ones have blocks.
     total = sizes.agg(F.sum("total")).head()[0] or 0
     block = F.when(last > 0, F.pmod(F.xxhash64("node"), last + 1)).otherwise(
         F.pmod(F.xxhash64("family"), F.lit(total // BLOCK + 1))
     )
-    blocks = blocks.withColumn("own", F.when(last > 0, F.col("family"))).withColumn("block", block)
+    own = F.when(last > 0, F.col("family"))
+    # Where a set goes is known before the sets move.
+    places = family.join(sizes, "family").select("node", own.alias("own"), block.alias("block"), F.col("family").alias("tree"))
+    blocks = ordered.join(stored(places, "places"), "node").withColumn("component", F.col("node"))
     links = stored(_tree_links(blocks, ["own", "block"], percent), "links")
     large = stored(sizes.where(last > 0).select("family"), "large-families")
     if large.isEmpty():
         return links
-    return links.unionAll(stored(_across_blocks(placed.join(large, "family"), first, links, percent), "links"))
+    inside = family.join(large, "family").select("node")
+    members = ordered.withColumn("weight", _weight()).join(inside, "node")
+    return links.unionAll(stored(_across_blocks(members, first, links, percent), "links"))
 
 
 def _across_blocks(members: DataFrame, first: DataFrame, links: DataFrame, percent: int) -> DataFrame:
