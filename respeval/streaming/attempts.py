@@ -14,7 +14,9 @@ from respeval import constants as C
 from respeval.operators.attempts import ANSWERED, FAILED, STARTED, RetryRule, micros
 
 LEDGER = "cache_key string, attempts long, failures long, status string, error string, next_at long"
-_STATE = "ids array<string>, started array<long>, ended array<long>, kinds array<string>"
+_STATE = "keys array<string>, ids array<string>, started array<long>, ended array<long>, kinds array<string>, as_of long"
+#: Keys are dealt to so many groups by hash; a call of the state function costs as much as thousands of keys.
+GROUPS = 1024
 
 
 def key_state(key: str, attempts: dict, as_of: int, rule: RetryRule) -> tuple[dict, int | None]:
@@ -41,41 +43,60 @@ def key_state(key: str, attempts: dict, as_of: int, rule: RetryRule) -> tuple[di
     return row, min(running, default=None)
 
 
-def ledger_changes(events: DataFrame, rule: RetryRule = RetryRule(), lateness: str = "1 hour") -> DataFrame:
+def ledger_changes(
+    events: DataFrame, rule: RetryRule = RetryRule(), lateness: str = "1 hour", groups: int = GROUPS
+) -> DataFrame:
     """Ledger rows of keys whose events came in or whose open attempts ran out of time.
 
     ``as_of`` is the watermark: the latest event time less ``lateness``. Events later than that
-    are not seen. A key's state holds its attempts, of which a client makes a limited number.
+    are not seen. State and time-outs are kept per group of keys, of which there are ``groups``:
+    a group's state holds the attempts of its keys and is written anew when one of them changes,
+    so give more for hundreds of millions of keys. A checkpoint belongs to one number of groups.
     """
 
-    def change(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, started, ended, kinds = state.get if state.exists else ([], [], [], [])
-        attempts = {i: (s, e, k) for i, s, e, k in zip(ids, started, ended, kinds)}
+    limit = round(rule.timeout * 1e6)
+
+    def change(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *columns, before = state.get if state.exists else ([], [], [], [], [], 0)
+        held: dict[str, dict] = {}
+        for name, attempt, *times in zip(*columns):
+            held.setdefault(name, {})[attempt] = tuple(times)
+        told = set()
         if not state.hasTimedOut:
             for frame in frames:
-                for name, at, kind in zip(frame["attempt_id"], frame["micros"].tolist(), frame["kind"]):
-                    begun, end, outcome = attempts.get(name, (None, None, None))
+                rows = zip(frame["cache_key"], frame["attempt_id"], frame["micros"].tolist(), frame["kind"])
+                for name, attempt, at, kind in rows:
+                    attempts = held.setdefault(name, {})
+                    begun, end, outcome = attempts.get(attempt, (None, None, None))
                     if kind == STARTED:
                         begun = at if begun is None else min(begun, at)
                     elif end is None or (at, kind) < (end, outcome):
                         end, outcome = at, kind
-                    attempts[name] = (begun, end, outcome)
+                    attempts[attempt] = (begun, end, outcome)
+                    told.add(name)
         as_of = state.getCurrentWatermarkMs()
-        row, next_change = key_state(key[0], attempts, as_of * 1000, rule)
-        columns = [list(c) for c in zip(*attempts.values())]
-        state.update((list(attempts), *columns))
-        if next_change is not None:
+        changed, next_changes = [], []
+        for name, attempts in held.items():
+            # Rows of other keys change only by attempts that ran out of time since the last call.
+            ends = [begun + limit for begun, _, kind in attempts.values() if kind is None]
+            if name in told or any(before * 1000 <= end < as_of * 1000 for end in ends):
+                changed.append(key_state(name, attempts, as_of * 1000, rule)[0])
+            next_changes += [end for end in ends if end >= as_of * 1000]
+        flat = [(name, attempt, *times) for name, attempts in held.items() for attempt, times in attempts.items()]
+        state.update((*(list(c) for c in zip(*flat)), as_of))
+        if next_changes:
             # A time-out fires once the watermark has passed it.
-            state.setTimeoutTimestamp(max(next_change // 1000, as_of + 1))
-        frame = pd.DataFrame([row])
-        yield frame.astype({"next_at": "Int64", "error": object})
+            state.setTimeoutTimestamp(max(min(next_changes) // 1000, as_of + 1))
+        if changed:
+            yield pd.DataFrame(changed).astype({"next_at": "Int64", "error": object})
 
     usable = events.where("cache_key IS NOT NULL AND attempt_id IS NOT NULL AND at IS NOT NULL")
     usable = usable.where(F.col("kind").isin(STARTED, ANSWERED, FAILED))
+    group = F.pmod(F.xxhash64("cache_key"), F.lit(groups)).alias("group")
     return (
-        usable.select("cache_key", F.col("attempt_id").cast("string"), "at", "kind", micros(F.col("at")).alias("micros"))
+        usable.select(group, "cache_key", F.col("attempt_id").cast("string"), "at", "kind", micros(F.col("at")).alias("micros"))
         .withWatermark("at", lateness)
-        .groupBy("cache_key")
+        .groupBy("group")
         .applyInPandasWithState(change, LEDGER, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
     )
 
