@@ -36,7 +36,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 def _depth(outside: Column) -> Column:
     """Braces opened less braces closed, in text without strings."""
-    return F.length(F.regexp_replace(outside, r"[^{]", "")) - F.length(F.regexp_replace(outside, r"[^}]", ""))
+    return F.length(F.replace(outside, F.lit("}"))) - F.length(F.replace(outside, F.lit("{")))
 
 
 def _effects(pieces: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def _effects(pieces: DataFrame) -> DataFrame:
     # An escape cannot reach over the end of a piece: no escape has a brace.
     plain = F.regexp_replace("piece", r"(?s)\\.", "")
     pieces = computed_once(pieces, {"plain": plain})
-    quotes = F.length(F.regexp_replace("plain", '[^"]', ""))
+    quotes = F.length("plain") - F.length(F.replace("plain", F.lit('"')))
 
     def outside(text: Column) -> Column:
         # The last string may go on in the next piece.
