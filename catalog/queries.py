@@ -533,8 +533,10 @@ def experiment_results(spark, sf_dir):
 # --- sinks -------------------------------------------------------------------------
 
 
-def _records(spark, sf_dir) -> DataFrame:
-    return V.eval_results(spark, sf_dir).select(
+def _records(spark, sf_dir, dealt: bool = False) -> DataFrame:
+    """Result records; ``dealt`` by block before the texts are read, so that only these are shuffled."""
+    texts = V.eval_responses(spark, sf_dir)
+    return extract_response(results.dealt_by_block(texts) if dealt else texts).select(
         "model", "arm", "dataset", "dataset_type", "item_id", "correct_index",
         F.lit("opt").alias("correct_text"), "predicted_index", "predicted_text", "confidence",
         "reasoning", "evidence_quality", "parse_error", "raw_response",
@@ -680,12 +682,12 @@ def report_files(spark, sf_dir):
 def _refreshed(spark, sf_dir):
     """Report state after all results came in, then the treated blocks twice over."""
     path, cells = work_dir(spark, "scored"), work_dir(spark, "cells")
-    scored = score_results(_records(spark, sf_dir))
-    results.write_results(scored, path)
+    scored = score_results(_records(spark, sf_dir, dealt=True))
+    results.write_results(scored, path, dealt=True)
     refresh_cells(spark, path, cells)
     treated = scored.where(F.col("arm") == C.TREATED_ARM)
     for blocks in (treated.withColumn("is_cautious", ~F.col("is_cautious")), treated):
-        results.write_results(blocks, path)
+        results.write_results(blocks, path, dealt=True)
         refresh_cells(spark, path, cells)
     return report_of_cells(spark, cells)
 

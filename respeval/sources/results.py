@@ -9,21 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from respeval.schemas import RESULTS, SCORED
+from respeval.session import stored
 from respeval.sources.arrays import array_records, parsed_records
 
 BLOCK = ("model", "arm", "dataset")
 
 
-def write_results(results: DataFrame, path: str, block: Sequence[str] = BLOCK) -> None:
+def dealt_by_block(rows: DataFrame, block: Sequence[str] = BLOCK) -> DataFrame:
+    """The rows of a block brought together, a hot block in several tasks."""
+    return rows.hint("rebalance", *block)
+
+
+def write_results(
+    results: DataFrame, path: str, block: Sequence[str] = BLOCK, dealt: bool = False
+) -> None:
     """Replace exactly the (model, arm, dataset) blocks the frame holds.
 
     Blocks that are not in the frame stay as they are, so a run can be repeated or
-    continued block by block. A hot block is written by several tasks.
+    continued block by block. A hot block is written by several tasks. Texts make up nearly
+    all of the table, so the files are packed with zstd. Pass ``dealt`` if the rows come from
+    ``dealt_by_block`` already: what was read from the texts since then is not shuffled.
     """
     (
-        results.hint("rebalance", *block)
+        (results if dealt else dealt_by_block(results, block))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy(*block)
         .parquet(path)
     )
@@ -57,12 +68,15 @@ def read_results_json(
 
     ``arm_col`` is the name the records have for the arm. A ``required`` column that no
     record has raises, since it would read as NULL throughout; to know, the records are
-    read once more when the frame is built. Pass no ``required`` columns to skip that.
+    read once more when the frame is built (those of array files are stored for that).
+    Pass no ``required`` columns to skip that.
     """
     fields = [StructField(arm_col, f.dataType) if f.name == "arm" else f for f in RESULTS.fields]
     wanted = {arm_col if name == "arm" else name for name in required}
     if array_file:
         texts = array_records(spark, path)
+        # Stored, so that the files are cut and put together once for both uses.
+        texts = stored(texts, "records") if wanted else texts
         records = parsed_records(texts, StructType(fields))
         names = texts.select(F.explode(F.json_object_keys("record"))).distinct()
         held = [row[0] for row in names.collect()] if wanted else []
