@@ -154,6 +154,8 @@ class Transform:
         #: UTF-8 bytes plus one; 0 stands before the first of each document.
         self.symbols = joined + np.uint8(1)
         self.symbols[self.begins - 1] = 0
+        #: The symbol before each place.
+        self.ahead = np.concatenate([self.symbols[:1], self.symbols])
         #: The empty suffixes come first. ``fresh`` marks those inserted last.
         self.places = self.ends = ends
         self.fresh = np.ones(len(ends), dtype=bool)
@@ -165,9 +167,10 @@ class Transform:
 
     def _insert(self) -> None:
         """The next symbol of every document that has one."""
-        before = self.symbols[self.places - 1]
+        before = self.ahead[self.places]
         order = np.argsort(before, kind="stable")[np.count_nonzero(before == 0) :]
-        symbol, places, fresh = before[order], self.places[order] - np.int32(1), self.fresh[order]
+        places, fresh = self.places[order], self.fresh[order]
+        places -= np.int32(1)
         # Old suffixes keep their order, and what they share with each other.
         heads = len(self.ends)
         common = np.empty(len(order), dtype=self.kind)
@@ -176,7 +179,8 @@ class Transform:
         changed[1:] |= fresh[:-1]
         at = np.flatnonzero(changed)
         below = np.zeros(len(at), dtype=self.kind)
-        pair = np.flatnonzero((at > 0) & (symbol[at] == symbol[at - 1]))
+        # Symbols are looked at only where something changed.
+        pair = np.flatnonzero((at > 0) & (before[order[at]] == before[order[at - 1]]))
         if len(pair):
             # What two suffixes share is what their tails share, plus one symbol.
             low, high = order[at[pair] - 1] + 1, order[at[pair]] + 1
