@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from respeval.schemas import RESULTS, SCORED
-from respeval.session import stored
 from respeval.sources.arrays import array_records, parsed_records
 
 BLOCK = ("model", "arm", "dataset")
@@ -68,15 +67,13 @@ def read_results_json(
 
     ``arm_col`` is the name the records have for the arm. A ``required`` column that no
     record has raises, since it would read as NULL throughout; to know, the records are
-    read once more when the frame is built (those of array files are stored for that).
-    Pass no ``required`` columns to skip that.
+    read once more when the frame is built. Pass no ``required`` columns to skip that. Array
+    files are read when the frame is built, and their records stored.
     """
     fields = [StructField(arm_col, f.dataType) if f.name == "arm" else f for f in RESULTS.fields]
     wanted = {arm_col if name == "arm" else name for name in required}
     if array_file:
         texts = array_records(spark, path)
-        # Stored, so that the files are cut and put together once for both uses.
-        texts = stored(texts, "records") if wanted else texts
         records = parsed_records(texts, StructType(fields))
         names = texts.select(F.explode(F.json_object_keys("record"))).distinct()
         held = [row[0] for row in names.collect()] if wanted else []
